@@ -7,12 +7,13 @@ least ``threshold`` are found, exactly (up to equality of 64-bit hashes):
    ``ORDER_BUCKETS`` counters, filled over the whole corpus, gives every n-gram an
    order: by its counter, then by its hash. Any such order makes the prefix filter
    exact; counting makes it put n-grams that very many documents share last.
-2. Two sets of that similarity share an n-gram among the first
-   n - ceil(t n) + 1 of each, and SUBSET of them among the first n - ceil(t n) + SUBSET.
-   *Light* sets list each SUBSET-element subset of the latter; light pairs meet on an
-   equal subset. *Heavy* sets scan the inverted lists of the former. The size from
-   which sets are heavy is where the summed cost of both is least.
-   Size and position filters drop pairs that can't reach the threshold.
+2. Two sets of that similarity share SUBSET n-grams (or all they must share, if that
+   is less) among the first n - ceil(t n) + SUBSET of each, their prefixes. *Light*
+   sets list each SUBSET-element subset of the prefix, and light pairs meet on an
+   equal one. *Heavy* sets scan the inverted lists of their prefix, and pairs that
+   meet in SUBSET lists are candidates. The size from which sets are heavy is where
+   the summed cost of both is least. Size and position filters drop pairs that can't
+   reach the threshold.
 3. Candidates are verified on their whole sets. Each pair goes to the cell of the
    first candidate partner of its first set, so the sets of a group of copies travel
    once, not once a pair; a cell of very many pairs is cut into a grid.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from . import scratch, textvec
 
 N = 2
 THRESHOLD = 0.6
-#: Size of the subsets that light sets enumerate.
-SUBSET = 2
+#: Size of the subsets that light sets enumerate, and of the overlap of prefixes that heavy ones need.
+SUBSET = 3
 #: Counters that order the n-grams; a broadcast of 4 bytes each, at any corpus size.
 ORDER_BUCKETS = 1 << 20
 #: The filter of candidate sets has 16 bits for each, at most so many in all (a
@@ -118,15 +120,15 @@ def _add_up(size: int):
     return run
 
 
-def prefix_size(n: int, t: float, extra: int = 1) -> int:
-    return n - math.ceil(t * n - 1e-9) + extra
+def prefix_size(n: int, t: float) -> int:
+    return min(n, n - math.ceil(t * n - 1e-9) + SUBSET)
 
 
 def boundary(sizes: dict[int, int], t: float, probe: float) -> int:
     """The largest light size, by cost in rows. A light set of n elements lists the
     subsets of its prefix; a heavy one has a row an element of its prefix, each of
     which also meets ``probe`` others; so has a light set that a heavy one may match."""
-    light = {n: c * math.comb(prefix_size(n, t, SUBSET), SUBSET) for n, c in sizes.items()}
+    light = {n: c * math.comb(prefix_size(n, t), SUBSET) for n, c in sizes.items()}
     rows = {n: c * prefix_size(n, t) for n, c in sizes.items()}
     best, at = math.inf, 0
     for x in [0, *sorted(sizes)]:
@@ -170,15 +172,18 @@ def _postings(n: int, t: float, light: int, order):
                 mine = size[doc]
                 need = np.ceil(t * mine - 1e-9).astype(np.int64)
                 heavy = (mine > light) | (mine < tiny)
-                listed = (pos < mine - need + 1) & (heavy | (mine >= t * (light + 1) - 1e-9) | (mine <= (tiny - 1) / t + 1e-9))
+                listed = (pos < mine - need + SUBSET) & (heavy | (mine >= t * (light + 1) - 1e-9) | (mine <= (tiny - 1) / t + 1e-9))
                 keys, sids, packed = [h[listed]], [sid[doc[listed]]], [(mine[listed] << 32) | pos[listed]]
                 for i in np.flatnonzero((size >= tiny) & (size <= light)):
                     m = int(size[i])
-                    x = np.sort(h[first[i] : first[i] + prefix_size(m, t, SUBSET)])
-                    a, b = np.triu_indices(len(x), 1)
-                    keys.append(textvec.mix(x[a] * np.uint64(0x9FB21C651E98DF25) + x[b]))
-                    sids.append(np.full(len(a), sid[i]))
-                    packed.append(np.full(len(a), (m << 32) | 0x7FFFFFFF))
+                    x = np.sort(h[first[i] : first[i] + prefix_size(m, t)])
+                    key = np.zeros(1, np.uint64)
+                    chosen = np.array(list(combinations(range(len(x)), SUBSET)))
+                    for k in range(SUBSET):
+                        key = textvec.mix(key * np.uint64(0x9FB21C651E98DF25) + x[chosen[:, k]])
+                    keys.append(key)
+                    sids.append(np.full(len(key), sid[i]))
+                    packed.append(np.full(len(key), (m << 32) | 0x7FFFFFFF))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(packed))],
                     names=["key", "sid", "at"],
@@ -285,9 +290,13 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     subset = F.lit(0x7FFFFFFF)
     overlap = F.lit(threshold / (1 + threshold)) * (pn + qn) - 1e-9
     can = (pn >= F.lit(threshold) * qn - 1e-9) & (qn >= F.lit(threshold) * pn - 1e-9)
-    listed = (pp != subset) & (qp != subset) & (F.least(pn - pp, qn - qp) >= overlap)
+    listed = (pp != subset) & (qp != subset) & (F.least(pn - pp, qn - qp) - 1 >= overlap - SUBSET)
     met = p.hint("merge").join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & can & (((pp == subset) & (qp == subset)) | listed))
-    pairs = scratch.save(met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b")).distinct(), "ngram-candidates")
+    need = F.when(pp == subset, 1).otherwise(F.least(F.lit(SUBSET), F.ceil(overlap)).cast("int"))
+    met = met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"), need.alias("need"))
+    # light pairs may meet in lists too, so either kind has to suffice by itself
+    met = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.count("*").alias("met")).filter("met >= need")
+    pairs = scratch.save(met.select("a", "b"), "ngram-candidates")
 
     total = pairs.count()
     bits = 1 << 17
