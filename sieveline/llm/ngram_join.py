@@ -14,7 +14,11 @@ least ``threshold`` are found, exactly (up to equality of 64-bit hashes):
    meet in SUBSET lists are candidates. The size from which sets are heavy is where
    the summed cost of both is least. Size and position filters drop pairs that can't
    reach the threshold.
-3. Candidates are verified on their whole sets. Each pair goes to the cell of the
+3. The lists are made where their key is, and then move to where their first set is
+   before they are turned into pairs. Most lists of a group of copies meet there, so
+   pairs are counted where they arise: what is shuffled follows the lists, not the
+   square of the group times the length of its texts.
+4. Candidates are verified on their whole sets. Each pair goes to the cell of the
    first candidate partner of its first set, so the sets of a group of copies travel
    once, not once a pair; a cell of very many pairs is cut into a grid.
 
@@ -48,8 +52,11 @@ ORDER_BUCKETS = 1 << 20
 #: The filter of candidate sets has 16 bits for each, at most so many in all (a
 #: broadcast of 64 MB). Beyond, it lets more sets through to the join, which is exact.
 FILTER_BITS = 1 << 29
-#: Pairs of a cell above which it is cut into a grid.
-CELL_PAIRS = 200_000
+#: Pairs of a cell above which it is cut into a grid, and of a group of cells that one call verifies.
+CELL_PAIRS = 100_000
+GROUP_PAIRS = 2_000
+#: Pairs that a task counts in memory at once.
+HELD_PAIRS = 1 << 21
 
 _CHUNK = 1 << 14
 
@@ -192,6 +199,126 @@ def _postings(n: int, t: float, light: int, order):
     return run
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, sorted by key, in batches that don't part equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column(key))
+        tail = int(np.searchsorted(keys, keys[-1]))
+        if tail == 0 and (not held or held[-1].column(key)[-1].as_py() == keys[0]):
+            held.append(batch)
+            continue
+        if held and held[-1].column(key)[-1].as_py() != keys[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if tail:
+            yield pa.concat_batches([*held, batch.slice(0, tail)])
+        held = [batch.slice(tail)]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by key: (first set, sets, sizes and positions) of each list of two sets or more."""
+    for batch in whole_runs(batches, "key"):
+        key, sid, at = (np.asarray(batch.column(c)) for c in ("key", "sid", "at"))
+        run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        many = np.bincount(run)[run] > 1
+        if not many.any():
+            continue
+        run, sid, at = run[many], sid[many], at[many]
+        order = np.lexsort((sid, run))
+        run, sid, at = run[order], sid[order], at[order]
+        # equal sets have equal postings
+        fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (sid[1:] != sid[:-1])])
+        run, sid, at = run[fresh], sid[fresh], at[fresh]
+        many = np.bincount(run)[run] > 1
+        run, sid, at = run[many], sid[many], at[many]
+        if not len(run):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        off = pa.array(np.append(first, len(run)).astype(np.int32))
+        size, pos = (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sid[first]), *(pa.ListArray.from_arrays(off, pa.array(x)) for x in (sid, size, pos))], names=["lead", "sids", "sizes", "places"]
+        )
+
+
+def _grouped(a: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row (a, lists) for each run of equal a."""
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+    off = pa.array(np.append(first, len(a)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), *(pa.ListArray.from_arrays(off, pa.array(x)) for x in columns.values())], names=["a", *columns])
+
+
+def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, need, met) with each pair once: the least need, the summed met."""
+    a, b, need, met = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b, need, met = a[order], b[order], need[order], met[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[first], b[first], np.minimum.reduceat(need, first), np.minimum(np.add.reduceat(met.astype(np.int64), first), 100).astype(np.int8)
+
+
+def _pairs(t: float):
+    """From lists: (a, [b], [need], [met]), each pair once for each time that memory is emptied."""
+    share = t / (1 + t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, b, need, met = _counted(held)
+            for x in range(0, len(a), 1 << 18):
+                y = slice(x, x + (1 << 18))
+                yield _grouped(a[y], {"b": b[y], "need": need[y], "met": met[y]})
+
+        for batch in batches:
+            count = np.asarray(pa.compute.list_value_length(batch.column("sids")))
+            sid, n, pos = (np.asarray(batch.column(c).flatten()) for c in ("sids", "sizes", "places"))
+            after = np.repeat(np.cumsum(count), count) - np.arange(len(sid)) - 1  # entries that follow in the list
+            live = np.flatnonzero(after >= 1)
+            step = 1
+            while len(live):
+                for x in range(0, len(live), HELD_PAIRS):
+                    i = live[x : x + HELD_PAIRS]
+                    j = i + step
+                    need_all = share * (n[i].astype(np.float64) + n[j]) - 1e-9
+                    ok = (n[i] >= t * n[j] - 1e-9) & (n[j] >= t * n[i] - 1e-9)
+                    subset = pos[i] == 0x7FFFFFFF
+                    ok &= subset | (np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need_all - SUBSET)
+                    i, j = i[ok], j[ok]
+                    need = np.where(subset[ok], 1, np.minimum(SUBSET, np.ceil(need_all[ok]))).astype(np.int8)
+                    held.append((sid[i], sid[j], need, np.ones(len(i), np.int8)))
+                    size += len(i)
+                    if size > HELD_PAIRS:
+                        held = [_counted(held)]
+                        size = len(held[0][0])
+                        if size > HELD_PAIRS // 2:
+                            yield from flush()
+                            held, size = [], 0
+                step += 1
+                live = live[after[live] >= step]
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (a, [b], [need], [met]) sorted by a: (a, [b]) of the pairs that met often enough."""
+    for batch in whole_runs(batches, "a"):
+        count = np.asarray(pa.compute.list_value_length(batch.column("b")))
+        a = np.repeat(np.asarray(batch.column("a")), count)
+        b, need, met = (np.asarray(batch.column(c).flatten()) for c in ("b", "need", "met"))
+        a, b, need, met = _counted([(a, b, need, met)])
+        ok = met >= need
+        yield _grouped(a[ok], {"b": b[ok]})
+
+
 def _bits(m: int):
     """Bits (mixed sid modulo m) of a task's sids, in non-empty chunks."""
 
@@ -238,23 +365,21 @@ def _wanted(n: int, bits):
 
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        found = dict(zip(sets.column("sid").to_pylist(), sets.column("grams").to_pylist(), strict=True))
-        arrays = {k: np.frombuffer(v, np.uint64) for k, v in found.items()}
+        arrays = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets.column("sid").to_pylist(), sets.column("grams").to_pylist(), strict=True)}
         a, b, j = [], [], []
-        order = np.argsort(np.asarray(pairs.column("a")), kind="stable")
-        left, right = np.asarray(pairs.column("a"))[order].tolist(), np.asarray(pairs.column("b"))[order].tolist()
-        for p, q in zip(left, right, strict=True):
-            x, y = arrays[p], arrays[q]
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            union = len(x) + len(y) - both
-            if both >= t * union - 1e-9:
-                a.append(p)
-                b.append(q)
-                j.append(both / union)
+        for p, partners in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            for q in partners:
+                x, y = arrays[p], arrays[q]
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
+                union = len(x) + len(y) - both
+                if both >= t * union - 1e-9:
+                    a.append(p)
+                    b.append(q)
+                    j.append(both / union)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
 
     return run
@@ -282,44 +407,39 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     order = sc.broadcast(counts)
 
     rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order), "key long, sid long, at long")
-    rows = rows.repartition("key").dropDuplicates(["key", "sid"])
-    size, pos = (F.shiftright("at", 32)).cast("int"), F.col("at").bitwiseAND(0x7FFFFFFF).cast("int")
-    rows = rows.select("key", "sid", size.alias("n"), pos.alias("pos"))
-    p, q = rows.alias("p"), rows.alias("q")
-    pn, qn, pp, qp = F.col("p.n"), F.col("q.n"), F.col("p.pos"), F.col("q.pos")
-    subset = F.lit(0x7FFFFFFF)
-    overlap = F.lit(threshold / (1 + threshold)) * (pn + qn) - 1e-9
-    can = (pn >= F.lit(threshold) * qn - 1e-9) & (qn >= F.lit(threshold) * pn - 1e-9)
-    listed = (pp != subset) & (qp != subset) & (F.least(pn - pp, qn - qp) - 1 >= overlap - SUBSET)
-    met = p.hint("merge").join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.sid") < F.col("q.sid")) & can & (((pp == subset) & (qp == subset)) | listed))
-    need = F.when(pp == subset, 1).otherwise(F.least(F.lit(SUBSET), F.ceil(overlap)).cast("int"))
-    met = met.select(F.col("p.sid").alias("a"), F.col("q.sid").alias("b"), need.alias("need"))
-    # light pairs may meet in lists too, so either kind has to suffice by itself
-    met = met.groupBy("a", "b").agg(F.min("need").alias("need"), F.count("*").alias("met")).filter("met >= need")
-    pairs = scratch.save(met.select("a", "b"), "ngram-candidates")
-
-    total = pairs.count()
+    lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_lists, "lead long, sids array<long>, sizes array<int>, places array<int>")
+    met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, need array<tinyint>, met array<tinyint>")
+    pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b array<long>")
+    pairs = scratch.save(pairs, "ngram-candidates")
+
+    total = pairs.agg(F.coalesce(F.sum(F.size("b")), F.lit(0)).alias("k")).collect()[0].k
     bits = 1 << 17
     while bits < min(FILTER_BITS, 32 * total):
         bits *= 2
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    ends = pairs.select(F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
     field = np.zeros(bits // 8, np.uint8)
     for row in ends.mapInArrow(_bits(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or_up, "chunk int, counts binary").collect():
         field[row.chunk << 14 : (row.chunk + 1) << 14] = np.frombuffer(row.counts, np.uint8)
 
-    lead = pairs.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("x"), F.least("a", "b").alias("cell"))
-    lead = lead.unionAll(pairs.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("cell"))).groupBy("x").agg(F.min("cell").alias("cell"))
-    placed = pairs.join(lead, pairs.a == lead.x).select("cell", "a", "b")
-    grid = placed.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).cast("long").alias("g"))
-    placed = placed.join(grid, "cell").select(
-        F.when(F.col("g") <= 1, F.col("cell")).otherwise(F.xxhash64("cell", F.pmod(F.xxhash64("a"), "g"), F.pmod(F.xxhash64("b", F.lit(1)), "g"))).alias("cell"), "a", "b"
+    # the cell of a pair: the first partner of a, or a itself
+    first = pairs.select("a", F.explode("b").alias("x")).groupBy("x").agg(F.min("a").alias("first"))
+    placed = pairs.join(first, pairs.a == first.x, "left").select(F.coalesce("first", "a").alias("cell"), "a", "b")
+    grid = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.sqrt(F.sum(F.size("b")) / CELL_PAIRS)).cast("long").alias("g")).filter("g > 1")
+    # cells to be cut have more than CELL_PAIRS pairs each, so they are few beside the pairs
+    placed = placed.join(grid, F.col("cell") == F.col("c"), "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    side = F.when(F.col("g") > 1, F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda k: F.struct(k.alias("k"), F.filter("b", lambda q: F.pmod(F.xxhash64(q, F.lit(1)), F.col("g")) == k).alias("b")))).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("k"), F.col("b").alias("b")))
     )
+    placed = placed.select("cell", "a", F.when(F.col("g") > 1, F.pmod(F.xxhash64("a"), "g")).otherwise(0).alias("h"), F.explode(side).alias("s")).filter("size(s.b) > 0")
+    groups_of_cells = max(64, -(-total // GROUP_PAIRS))
+    placed = placed.select(F.pmod(F.xxhash64("cell", "h", "s.k"), F.lit(groups_of_cells)).alias("cell"), "a", F.col("s.b").alias("b"))
     placed = scratch.save(placed, "ngram-cells")
-    needed = placed.select(F.col("cell").alias("spot"), F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = placed.select(F.col("cell").alias("spot"), F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
     sets = texts.select("text").mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, grams binary").repartition("sid").dropDuplicates(["sid"])
     sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "grams")
     checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return members.distinct(), checked.distinct()
+    return members.distinct(), checked
+
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -330,8 +450,11 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     y = members.select(F.col("sid").alias("b"), F.col("doc_id").alias("y"))
     near = pairs.join(x, "a").join(y, "b").select("x", "y", "jaccard")
     same = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
-    both = near.unionAll(same).filter("x <> y")
-    return both.groupBy(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    both = near.unionAll(same).filter("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    if members.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # only a document of several texts can meet another more than once
+        both = both.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return both
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
