@@ -280,3 +280,15 @@ def identify(docs: DataFrame, model: Model, accepted: list[str] | None = None, s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_label(shared, switch, accepted, min_share), SCHEMA)
+
+
+def kept(docs: DataFrame, model: Model, accepted: list[str] | None = None, switch: float = SWITCH, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs whose text has an accepted language as its main one, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: pa.Array) -> np.ndarray:
+        rows = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts], names=["doc_id", "text"])
+        parts = _label(shared, switch, accepted, min_share)(iter([rows]))
+        return np.concatenate([np.zeros(0, bool), *(np.asarray(p.column("keep")) for p in parts)])
+
+    return textvec.keep_rows(docs, good)

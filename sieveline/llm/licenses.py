@@ -181,9 +181,9 @@ def sql() -> str:
         last = f"r{k}"
     return f"""WITH known(sentence, sentence_id) AS (VALUES {table}),
 cut AS (SELECT DISTINCT doc_id, text AS version, string_split_regex({text}, {_literal(_END)}) AS parts FROM documents WHERE text IS NOT NULL),
-said AS (SELECT doc_id, version, unnest(parts) AS raw, generate_subscripts(parts, 1) AS at FROM cut),
-hits AS (SELECT doc_id, version, at, sentence_id FROM (SELECT *, trim(regexp_replace(lower(raw), '{_NOISE}', ' ', 'g')) AS sentence FROM said) JOIN known USING (sentence)),
-gaps AS (SELECT *, lag(at) OVER (PARTITION BY doc_id, version ORDER BY at) < at - 1 AS gap FROM hits),
-r0 AS (SELECT doc_id, version, list(sentence_id ORDER BY at) AS sentences, ' ' || string_agg(CASE WHEN gap THEN '~ ' ELSE '' END || sentence_id, ' ' ORDER BY at) || ' ' AS seq, []::VARCHAR[] AS names FROM gaps GROUP BY doc_id, version),
+said AS (SELECT doc_id, version, unnest(parts) AS raw, generate_subscripts(parts, 1) AS place FROM cut),
+hits AS (SELECT doc_id, version, place, sentence_id FROM (SELECT *, trim(regexp_replace(lower(raw), '{_NOISE}', ' ', 'g')) AS sentence FROM said) JOIN known USING (sentence)),
+gaps AS (SELECT *, lag(place) OVER (PARTITION BY doc_id, version ORDER BY place) < place - 1 AS gap FROM hits),
+r0 AS (SELECT doc_id, version, list(sentence_id ORDER BY place) AS sentences, ' ' || string_agg(CASE WHEN gap THEN '~ ' ELSE '' END || sentence_id, ' ' ORDER BY place) || ' ' AS seq, []::VARCHAR[] AS names FROM gaps GROUP BY doc_id, version),
 {(',' + chr(10)).join(steps)}
 SELECT doc_id, names AS licenses, sentences FROM {last}"""

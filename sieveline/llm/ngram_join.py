@@ -441,7 +441,6 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     return members.distinct(), checked
 
 
-
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """(doc_a, doc_b, jaccard) of all pairs of documents at or above the threshold, doc_a < doc_b."""
     members, pairs = similar_sets(docs, threshold, n)
@@ -479,3 +478,12 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
         now = scratch.save(step, "group-labels")
     label = own.join(now.select("sid", F.col("label").alias("to")), "sid", "left").select("sid", F.coalesce("to", "label").alias("label"))
     return members.join(label, "sid").groupBy("doc_id").agg(F.min("label").alias("group_id"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """The rows of docs without those of a doc_id that isn't the smallest of its group.
+    Rows without doc_id, or whose texts have no words, stay; so do all rows of a doc_id."""
+    members, pairs = similar_sets(docs, threshold, n)
+    members, pairs = scratch.save(members, "ngram-members"), scratch.save(pairs, "ngram-pairs")
+    lost = groups(members, pairs).filter("doc_id <> group_id").select(F.col("doc_id").alias("lost_id"))
+    return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")

@@ -1,8 +1,8 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Documents have features: which words they contain (hashed) and shape statistics
-(shares of capitals, symbols, digits and repeated words, word length and so on). The
-labels give preferences: a good document (quality 1, not toxic) is preferred to a
+Documents have features: which words and beginnings of words they contain, of those
+that tell good from bad in the sample, and shape statistics (shares of capitals,
+symbols, digits and repeated words, word length and so on). The labels give preferences: a good document (quality 1, not toxic) is preferred to a
 bad one. The score of a document is linear in its features; weights minimise the
 logistic loss of the differences of features over pairs of a good and a bad
 document, with an L2 penalty. All documents are scored, and those below a quantile
@@ -37,9 +37,11 @@ MAX_LABELLED = 12_000
 PAIRS = 200_000
 ROUNDS = 150
 L2 = 2e-4
-#: Words in fewer documents of the sample have no weight.
-MIN_DOCS = 4
-_BITS = 18
+#: Words in fewer documents of the sample, or that tell good from bad by fewer standard errors, have no weight.
+MIN_DOCS = 5
+Z = 5.0
+#: Bytes of the beginnings of words that are features beside whole words.
+PREFIXES = (4, 5)
 _SYMBOL = np.zeros(256, bool)
 for _c in b"#$%&*+/<=>@[\\]^_`{|}~!?":
     _SYMBOL[_c] = True
@@ -47,7 +49,7 @@ STATS = ("words", "word_length", "capitals", "symbols", "digits", "distinct", "t
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stats by text, text of each distinct word, its bucket); both latter sorted by text."""
+    """(stats by text, text of each mark, the mark). Marks are 32-bit hashes of words and of their beginnings, repeated as the words are."""
     n = len(texts)
     w = textvec.words(texts)
     raw, off = textvec._buffer(pa.compute.fill_null(texts.cast(pa.large_string()), ""))
@@ -64,17 +66,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lower = per_text((raw >= 97) & (raw <= 122))
     symbol, bar = per_text(_SYMBOL[raw]), per_text(raw == ord("|"))
     digit = per_text((raw >= 48) & (raw <= 57))
-    bucket = (w.hash >> np.uint64(64 - _BITS)).astype(np.int64)
-    key = (w.doc << _BITS) | bucket
-    key, times = np.unique(key, return_counts=True)
-    doc = key >> _BITS
+    whole = (w.hash >> np.uint64(32)).astype(np.uint32)
+    key = np.sort((w.doc.astype(np.int64) << 32) | whole)
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    doc, times = key[edge] >> 32, np.diff(np.append(edge, len(key)))
     distinct = np.bincount(doc, minlength=n)
     top = np.zeros(n, np.int64)
     np.maximum.at(top, doc, times)
     length = (w.end - w.start).astype(np.int64)
     in_words = np.bincount(w.doc, weights=length, minlength=n)
     long_words = np.bincount(w.doc, weights=length > 16, minlength=n)
-    # lines that equal the line before them by hash of their words
+    # words that equal the word before them
     same = np.zeros(n)
     if len(w.hash) > 1:
         again = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
@@ -82,20 +84,52 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stats = np.stack(
         [np.log1p(count), in_words / some, capital / np.maximum(1, capital + lower), symbol / size, digit / size, distinct / np.sqrt(some), top / some, bar / some, same / some, long_words / some], axis=1
     ).astype(np.float32)
-    return stats, doc, key & ((1 << _BITS) - 1)
+    marks, owners = [whole], [w.doc]
+    if len(w.start):
+        buf = np.concatenate([w.buf, np.zeros(8, np.uint8)])
+        packed = np.zeros(len(w.start), np.uint64)
+        for j in range(max(PREFIXES)):
+            packed |= buf[w.start + j].astype(np.uint64) << np.uint64(8 * j)
+            if j + 1 in PREFIXES:
+                on = length > j + 1
+                marks.append((textvec.mix(packed[on] + np.uint64((j + 1) << 56)) >> np.uint64(32)).astype(np.uint32))
+                owners.append(w.doc[on])
+    return stats, np.concatenate(owners), np.concatenate(marks)
+
+
+def _distinct(doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort((doc.astype(np.uint64) << np.uint64(32)) | mark)
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
 
 
 @dataclass
 class Model:
-    word: np.ndarray  # weight of each bucket, float32
+    marks: np.ndarray  # sorted hashes of the words and beginnings that have a weight
+    weight: np.ndarray
     stat: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.marks >> np.uint32(12)] = True
+
+    def columns(self, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, index of mark) of the marks that have a weight, once for each text."""
+        on = self.maybe[mark >> np.uint32(12)]
+        doc, mark = doc[on], mark[on]
+        at = np.searchsorted(self.marks, mark)
+        at[at == len(self.marks)] = 0
+        on = self.marks[at] == mark if len(self.marks) else np.zeros(len(mark), bool)
+        doc, at = _distinct(doc[on], at[on].astype(np.uint32))
+        return doc, at.astype(np.int64)
+
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(score, whether the text has words)"""
-        stats, doc, bucket = features(texts)
-        s = np.bincount(doc, weights=self.word[bucket], minlength=len(texts))
+        stats, doc, mark = features(texts)
+        doc, at = self.columns(doc, mark)
+        s = np.bincount(doc, weights=self.weight[at], minlength=len(texts))
         return s + self._shape(stats) @ self.stat, stats[:, 0] > 0
 
     def _shape(self, stats: np.ndarray) -> np.ndarray:
@@ -103,19 +137,27 @@ class Model:
         return np.concatenate([x, np.abs(x), np.maximum(0, x - 2)], axis=1)
 
 
-def fit_pairs(stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray, good: np.ndarray, seed: int = 7) -> Model:
-    """Bradley-Terry weights from pairs of a good and a bad document, by Adam on all pairs."""
+def telling(doc: np.ndarray, mark: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """The marks that are in at least MIN_DOCS texts and whose shares among good and bad texts differ by Z standard errors."""
+    values, index = np.unique(mark, return_inverse=True)
+    in_bad = np.bincount(index, weights=~good[doc], minlength=len(values))
+    total = np.bincount(index, minlength=len(values))
+    share = (~good).mean()
+    z = (in_bad - share * total) / np.sqrt(np.maximum(1e-9, share * (1 - share) * total))
+    return values[(total >= MIN_DOCS) & (np.abs(z) >= Z)]
+
+
+def fit_pairs(stats: np.ndarray, doc: np.ndarray, mark: np.ndarray, good: np.ndarray, seed: int = 7) -> Model:
+    """Bradley-Terry weights from pairs of a good and a bad document, by Adam on all pairs. Marks are distinct for each text."""
     mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
     k = stats.shape[1] * 3
-    model = Model(np.zeros(1 << _BITS, np.float32), np.zeros(k), mean, scale)
     yes, no = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(yes) or not len(no):
-        return model
-    used = np.bincount(bucket, minlength=1 << _BITS) >= MIN_DOCS
-    column = np.cumsum(used) - 1
-    on = used[bucket]
-    doc, col = doc[on], column[bucket[on]]
-    m = int(used.sum())
+        return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(k), mean, scale)
+    marks = telling(doc, mark, good)
+    m = len(marks)
+    model = Model(marks, np.zeros(m), np.zeros(k), mean, scale)
+    doc, col = model.columns(doc, mark)
     x = model._shape(stats).astype(np.float64)
     rng = np.random.default_rng(seed)
     a = yes[np.arange(PAIRS) % len(yes)]
@@ -131,19 +173,19 @@ def fit_pairs(stats: np.ndarray, doc: np.ndarray, bucket: np.ndarray, good: np.n
         first += 0.1 * (grad - first)
         second += 0.01 * (grad * grad - second)
         theta -= 0.05 * (1 - step / (ROUNDS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    model.word[used] = theta[:m]
-    model.stat = theta[m:]
+    model.weight, model.stat = theta[:m], theta[m:]
     return model
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textvec.slices(batch, "text"):
-            stats, doc, bucket = features(part.column("text"))
+            stats, doc, mark = features(part.column("text"))
+            doc, mark = _distinct(doc, mark)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(first), pa.array(bucket.astype(np.int32)))
+            marks = pa.ListArray.from_arrays(pa.array(first), pa.array(mark.view(np.int32)))
             shape = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("bad"), shape, words], names=["doc_id", "bad", "stats", "buckets"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("bad"), shape, marks], names=["doc_id", "bad", "stats", "marks"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -157,16 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     share = marks.agg(F.avg("bad").alias("share")).collect()[0].share
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # at most max_labelled rows of 12 bytes
-    sample = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, "doc_id long, bad int, stats array<float>, buckets array<int>")
+    sample = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, "doc_id long, bad int, stats array<float>, marks array<int>")
     table = sample.toArrow().sort_by([("doc_id", "ascending")])
     stats = np.asarray(table.column("stats").combine_chunks().flatten(), np.float32).reshape(-1, len(STATS))
     if not len(stats):
         k = len(STATS)
-        return Model(np.zeros(1 << _BITS, np.float32), np.zeros(3 * k), np.zeros(k), np.ones(k)), 0.0
-    lists = table.column("buckets").combine_chunks()
-    bucket = np.asarray(lists.flatten(), np.int64)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(3 * k), np.zeros(k), np.ones(k)), 0.0
+    lists = table.column("marks").combine_chunks()
+    mark = np.asarray(lists.flatten(), np.int32).view(np.uint32)
     doc = np.repeat(np.arange(len(stats)), np.asarray(pa.compute.list_value_length(lists)))
-    return fit_pairs(stats, doc, bucket, np.asarray(table.column("bad")) == 0), float(share or 0.0)
+    return fit_pairs(stats, doc, mark, np.asarray(table.column("bad")) == 0), float(share or 0.0)
 
 
 def _score(model):
@@ -189,9 +231,28 @@ def threshold(scores: DataFrame, quantile: float) -> float | None:
     return scores.agg(F.percentile_approx("score", F.lit(float(quantile)), F.lit(100_000)).alias("t")).collect()[0].t
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
+def _cutoff(docs: DataFrame, labels: DataFrame, quantile: float | None) -> tuple[Model, DataFrame, float | None]:
     model, share = fit(docs, labels)
     scores = scratch.save(score(docs, model), "quality-scores")
-    t = threshold(scores, share if quantile is None else quantile)
+    return model, scores, threshold(scores, share if quantile is None else quantile)
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
+    """(doc_id, score, keep) of every document."""
+    _, scores, t = _cutoff(docs, labels, quantile)
     keep = F.col("score").isNotNull() if t is None else F.coalesce(F.col("score") >= F.lit(t), F.lit(False))
     return scores.select("doc_id", "score", keep.alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns. Texts are scored
+    once for the quantile and once more to filter them, which costs less than to move
+    them to their scores."""
+    model, _, t = _cutoff(docs, labels, quantile)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: pa.Array) -> np.ndarray:
+        s, ok = shared.value.scores(texts)
+        return ok if t is None else ok & (s >= t)
+
+    return textvec.keep_rows(docs, good)

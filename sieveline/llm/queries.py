@@ -6,20 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, html_extract, language_id, licenses, ngram_join, packing, quality, topk
 from .textvec import WORD_SQL
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("keep").drop("keep")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_license_scan": op9_license_scan,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 #: The n-grams of all texts, as their words joined by a blank.
@@ -32,12 +69,22 @@ grams AS (
 
 PAIRS_SQL = f"""{GRAMS_SQL},
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-overlaps AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+meets AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
 pairs AS (
   SELECT x AS doc_a, y AS doc_b, k / (p.n + q.n - k)::DOUBLE AS jaccard
-  FROM overlaps JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  FROM meets JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
   WHERE k >= {ngram_join.THRESHOLD} * (p.n + q.n - k) - 1e-9)"""
 
+NEAREST_SQL = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+pairs AS (
+  SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.e, b.e) AS d
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id)::INTEGER AS rank FROM pairs)
+SELECT vec_id, rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= {topk.K}"""
+
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"WITH {PAIRS_SQL} SELECT doc_a, doc_b, jaccard FROM pairs",
+    "op9_license_scan": licenses.sql(),
+    "op10_exact_topk": NEAREST_SQL,
 }

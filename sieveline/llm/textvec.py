@@ -17,12 +17,14 @@ A null text has no words, like an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Texts are taken in slices of about so many bytes, which bounds memory; one
 #: longer text is a slice of its own.
@@ -202,3 +204,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, min(to, batch.num_rows))
         yield batch.slice(at, to - at)
         at = to
+
+
+def keep_rows(docs: DataFrame, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs whose text is wanted, with all their columns, in one pass."""
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    inner = docs.toDF(*places)
+    inner = inner.withColumn(places[at], F.col(places[at]).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, places[at]):
+                yield part.filter(pa.array(wanted(part.column(at)), pa.bool_()))
+
+    return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)
