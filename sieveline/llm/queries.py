@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, licenses, ngram_join, packing, quality, topk
+from . import decontaminate, html_extract, language_id, licenses, ngram_join, packing, quality, sharding, sstable, topk
 from .textvec import WORD_SQL
 
 
@@ -18,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, read back from the shards."""
+    return sstable.write(table(spark, sf_dir, "documents")).scan()
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -32,6 +37,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).filter("keep").drop("keep")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, read back from the compacted dataset."""
+    dataset = sharding.create(spark)
+    dataset.append(table(spark, sf_dir, "documents"))
+    dataset.compact(keep=1)
+    return dataset.read()
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -50,9 +63,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_sstable": op2_token_sstable,
     "op3_language_id": op3_language_id,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_sharding": op6_sharding,
     "op7_html_extraction": op7_html_extraction,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_license_scan": op9_license_scan,
@@ -85,6 +100,7 @@ SELECT vec_id, rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"WITH {PAIRS_SQL} SELECT doc_a, doc_b, jaccard FROM pairs",
+    "op6_sharding": "SELECT * FROM documents",
     "op9_license_scan": licenses.sql(),
     "op10_exact_topk": NEAREST_SQL,
 }
