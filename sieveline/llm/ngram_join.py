@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join of documents: a size-aware heavy-light set join.
 
 Each text is the set of its word n-grams. All pairs with Jaccard similarity of at
-least ``threshold`` are found, exactly (up to equality of 64-bit hashes):
+least ``threshold`` are found, exactly (up to equality of hashes, of 64 bits in the
+search and 48 in the comparison of two sets):
 
 1. Texts with equal sets collapse to one set. In the same pass a table of
    ``ORDER_BUCKETS`` counters, filled over the whole corpus, gives every n-gram an
@@ -14,13 +15,14 @@ least ``threshold`` are found, exactly (up to equality of 64-bit hashes):
    meet in SUBSET lists are candidates. The size from which sets are heavy is where
    the summed cost of both is least. Size and position filters drop pairs that can't
    reach the threshold.
-3. The lists are made where their key is, and then move to where their first set is
-   before they are turned into pairs. Most lists of a group of copies meet there, so
-   pairs are counted where they arise: what is shuffled follows the lists, not the
-   square of the group times the length of its texts.
+3. The lists are made where their key is, those of the same sets as one row, and then
+   move to where their first set is before they are turned into pairs. Most lists of a
+   group of copies meet there, so pairs are counted where they arise: what is shuffled
+   follows the lists, not the square of the group times the length of its texts.
 4. Candidates are verified on their whole sets. Each pair goes to the cell of the
-   first candidate partner of its first set, so the sets of a group of copies travel
-   once, not once a pair; a cell of very many pairs is cut into a grid.
+   first candidate partner of its first set (of that set's first partner, and so on, a
+   few steps), so the sets of a group of copies travel once, not once a pair; a cell of
+   very many pairs is cut into a grid.
 
 Defined results. Null and word-less texts have the empty set and are in no pair.
 Texts of fewer than n words are one n-gram of all their words. Rows without doc_id
@@ -220,8 +222,41 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Recor
         yield pa.concat_batches(held)
 
 
+def _shared_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A row (first set, sets, sizes, places of each list one after the other) for all lists of the same sets."""
+    run = np.concatenate([np.full(len(p[0]), i, np.int64) << 40 for i, p in enumerate(parts)]) + np.concatenate([p[0] for p in parts])
+    sid, size, pos = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    length = np.diff(np.append(first, len(run)))
+    content = _set_ids(sid.view(np.uint64), np.append(first, len(run)))
+    order = np.lexsort((length, content))
+    c, n = content[order], length[order]
+    fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
+    lead = order[fresh]
+
+    def entries(lists: np.ndarray) -> np.ndarray:
+        k = length[lists]
+        return np.repeat(first[lists], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+
+    one, every = entries(lead), entries(order)
+    many = np.add.reduceat(n, np.flatnonzero(fresh))
+    off = pa.array(np.concatenate([[0], np.cumsum(length[lead])]).astype(np.int32))
+    off_places = pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(sid[first[lead]]),
+            pa.ListArray.from_arrays(off, pa.array(sid[one])),
+            pa.ListArray.from_arrays(off, pa.array(size[one])),
+            pa.ListArray.from_arrays(off_places, pa.array(pos[every])),
+        ],
+        names=["lead", "sids", "sizes", "places"],
+    )
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings sorted by key: (first set, sets, sizes and positions) of each list of two sets or more."""
+    """From postings sorted by key: the lists of two sets or more, those of the same sets in one row."""
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
     for batch in whole_runs(batches, "key"):
         key, sid, at = (np.asarray(batch.column(c)) for c in ("key", "sid", "at"))
         run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
@@ -238,12 +273,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, sid, at = run[many], sid[many], at[many]
         if not len(run):
             continue
-        first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        off = pa.array(np.append(first, len(run)).astype(np.int32))
-        size, pos = (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(sid[first]), *(pa.ListArray.from_arrays(off, pa.array(x)) for x in (sid, size, pos))], names=["lead", "sids", "sizes", "places"]
-        )
+        held.append((run, sid, (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)))
+        count += len(run)
+        if count > HELD_PAIRS:
+            yield _shared_rows(held)
+            held, count = [], 0
+    if held:
+        yield _shared_rows(held)
 
 
 def _grouped(a: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -277,9 +313,13 @@ def _pairs(t: float):
                 yield _grouped(a[y], {"b": b[y], "need": need[y], "met": met[y]})
 
         for batch in batches:
-            count = np.asarray(pa.compute.list_value_length(batch.column("sids")))
+            count, total = (np.asarray(pa.compute.list_value_length(batch.column(c))).astype(np.int64) for c in ("sids", "places"))
             sid, n, pos = (np.asarray(batch.column(c).flatten()) for c in ("sids", "sizes", "places"))
-            after = np.repeat(np.cumsum(count), count) - np.arange(len(sid)) - 1  # entries that follow in the list
+            # the sets of a row repeat for each of its lists
+            place = (np.arange(len(pos)) - np.repeat(np.cumsum(total) - total, total)) % np.repeat(count, total)
+            spot = np.repeat(np.cumsum(count) - count, total) + place
+            sid, n = sid[spot], n[spot]
+            after = np.repeat(count, total) - place - 1  # entries that follow in the list
             live = np.flatnonzero(after >= 1)
             step = 1
             while len(live):
@@ -342,6 +382,20 @@ def _or_up(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """48 bits of each of the sorted hashes, as differences by byte planes."""
+    steps = np.diff(h >> np.uint64(16), prepend=np.uint64(0))
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 6 * n, "zstd", asbytes=True), np.uint8).reshape(6, n)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel())
+
+
 def _wanted(n: int, bits):
     """(sid, set) of the texts whose sid may be wanted."""
 
@@ -357,15 +411,15 @@ def _wanted(n: int, bits):
                 hit = (field[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1
                 hit = np.flatnonzero(hit & (np.diff(first) > 0))
                 if len(hit):
-                    blobs = [h[first[i] : first[i + 1]].tobytes() for i in hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(blobs, pa.binary())], names=["sid", "grams"])
+                    blobs = [_packed(h[first[i] : first[i + 1]]) for i in hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(np.diff(first)[hit].astype(np.int32)), pa.array(blobs, pa.binary())], names=["sid", "size", "grams"])
 
     return run
 
 
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        arrays = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets.column("sid").to_pylist(), sets.column("grams").to_pylist(), strict=True)}
+        arrays = {k: _unpacked(v, n) for k, n, v in zip(*(sets.column(c).to_pylist() for c in ("sid", "size", "grams")), strict=True)}
         a, b, j = [], [], []
         for p, partners in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
             for q in partners:
@@ -421,8 +475,11 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     for row in ends.mapInArrow(_bits(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or_up, "chunk int, counts binary").collect():
         field[row.chunk << 14 : (row.chunk + 1) << 14] = np.frombuffer(row.counts, np.uint8)
 
-    # the cell of a pair: the first partner of a, or a itself
+    # the cell of a pair: the first partner of a, or a itself, and the same of that set, twice
     first = pairs.select("a", F.explode("b").alias("x")).groupBy("x").agg(F.min("a").alias("first"))
+    for _ in range(2):
+        again = first.select(F.col("x").alias("x0"), F.col("first").alias("first0"))
+        first = scratch.save(first.join(again, F.col("first") == F.col("x0"), "left").select("x", F.coalesce("first0", "first").alias("first")), "ngram-first")
     placed = pairs.join(first, pairs.a == first.x, "left").select(F.coalesce("first", "a").alias("cell"), "a", "b")
     grid = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.sqrt(F.sum(F.size("b")) / CELL_PAIRS)).cast("long").alias("g")).filter("g > 1")
     # cells to be cut have more than CELL_PAIRS pairs each, so they are few beside the pairs
@@ -435,8 +492,8 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     placed = placed.select(F.pmod(F.xxhash64("cell", "h", "s.k"), F.lit(groups_of_cells)).alias("cell"), "a", F.col("s.b").alias("b"))
     placed = scratch.save(placed, "ngram-cells")
     needed = placed.select(F.col("cell").alias("spot"), F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
-    sets = texts.select("text").mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, grams binary").repartition("sid").dropDuplicates(["sid"])
-    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "grams")
+    sets = texts.select("text").mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
+    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "grams")
     checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     return members.distinct(), checked
 

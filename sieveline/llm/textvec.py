@@ -101,7 +101,7 @@ def fold(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             lowered[i] = "".join(map(_fold_char, texts[i]))
         low, low_off = _buffer(pa.array(lowered, pa.large_string()))
     buf = low.copy()
-    if len(buf) > 2 and (buf >= 0xC2).any():
+    if len(buf) > 1 and (buf >= 0xC2).any():
         a, b = buf[:-1], buf[1:]
         two = np.flatnonzero(((a == 0xC2) & (b >= 0xA0)) | ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))))
         three = np.flatnonzero(((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80)))
