@@ -5,11 +5,11 @@ the distance of two vectors from below:
 
     |x - y|^2 >= sum over segments of len * ((mean_x - mean_y)^2 + (dev_x - dev_y)^2)
 
-More segments bound closer. Each query first takes the exact distances of the k
-vectors with the least finest bounds; the largest is its radius. Then all vectors pass
-the bounds from coarse to fine, each level over those that are left, and only the
-survivors get exact distances. Nothing within the radius is dropped, so the result is
-exact (rounding of the bounds is allowed for).
+More segments bound closer. The vectors pass the bounds from coarse to fine, each level
+over those that are left. At each level a query takes the exact distances of the k
+vectors with the least bounds; the largest is its radius, beyond which vectors are
+dropped. Only the survivors of all levels get their distances. Nothing within the
+radius is dropped, so the result is exact (rounding of the bounds is allowed for).
 
 Vectors are spread over blocks by hash, and a task compares a pair of blocks in both
 directions; the blocks' best k are merged. A vector is sent to as many tasks as there
@@ -37,7 +37,7 @@ K = 10
 BLOCK = 12_000
 _QUERIES = 256
 #: Segments of the levels, coarse to fine.
-LEVELS = (4, 16, 32)
+LEVELS = (4, 16)
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -56,47 +56,63 @@ def _squared(a: np.ndarray, b: np.ndarray, bb: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] + bb - 2 * (a @ b.T)
 
 
+def _kth(q_id: np.ndarray, ids: np.ndarray, exact: np.ndarray, k: int) -> np.ndarray:
+    """For each row the k-th least of the distances to distinct ids other than its own; infinite with fewer."""
+    radius = np.full(len(exact), np.inf)
+    order = np.argsort(exact, axis=1, kind="stable")
+    for i, row in enumerate(order):
+        seen: set[int] = set()
+        for j in row:
+            other = int(ids[i, j])
+            if other != q_id[i] and other not in seen:
+                seen.add(other)
+                if len(seen) == k:
+                    radius[i] = exact[i, j]
+                    break
+    return radius
+
+
 def nearest(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, neighbour id, squared distance) of the k nearest of each query, ids other than its own."""
     if not len(q) or not len(c):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # repeated ids may take up places, so that many more are ranked
-    more = k + int(np.unique(c_id, return_counts=True)[1].max()) * (k + 1) - k if len(np.unique(c_id)) < len(c_id) else k + 1
-    levels = [(summaries(q, s), summaries(c, s)) for s in LEVELS if s <= LEVELS[0] or s // 2 < q.shape[1]]
+    repeats = int(np.unique(c_id, return_counts=True)[1].max())
+    take = min((k + 1) * repeats, len(c))
+    levels = [(summaries(q, s), summaries(c, s)) for s in LEVELS if s == LEVELS[0] or s < q.shape[1]]
     norms = [(b * b).sum(axis=1) for _, b in levels]
-    slack = 1e-9 * (float((q * q).sum(axis=1).max()) + float((c * c).sum(axis=1).max())) + 1e-12
+    own_norms = (c * c).sum(axis=1)
+    slack = 1e-9 * (float((q * q).sum(axis=1).max()) + float(own_norms.max())) + 1e-12
     rows, ids, dist = [], [], []
     for at in range(0, len(q), _QUERIES):
-        part = q[at : at + _QUERIES]
+        part, own = q[at : at + _QUERIES], q_id[at : at + _QUERIES]
         n = len(part)
-        fine = _squared(levels[-1][0][at : at + n], levels[-1][1], norms[-1])
-        take = min(more, len(c))
-        first = np.argpartition(fine, take - 1, axis=1)[:, :take]
-        exact = ((part[:, None, :] - c[first]) ** 2).sum(axis=2)
-        radius = np.full(n, np.inf)
-        for i in range(n):
-            best: dict[int, float] = {}
-            for j in np.argsort(exact[i], kind="stable"):
-                other = int(c_id[first[i, j]])
-                if other != q_id[at + i] and other not in best:
-                    best[other] = exact[i, j]
-                    if len(best) == k:
-                        radius[i] = exact[i, j]
-                        break
-        limit = radius * (1 + 1e-9) + slack
-        left = np.arange(len(c))
-        for (a, b), bb in zip(levels[:-1], norms[:-1], strict=True):
+        left, radius, on = np.arange(len(c)), np.full(n, np.inf), None
+        for (a, b), bb in zip(levels, norms, strict=True):
+            # the columns that any query of this part has left, and which queries have them
             bound = _squared(a[at : at + n], b[left], bb[left])
-            left = left[(bound <= limit[:, None]).any(axis=0)]
-        r, s = np.nonzero(fine[:, left] <= limit[:, None])
+            if len(left) > take:
+                best = np.argpartition(bound, take - 1, axis=1)[:, :take]
+                near = left[best]
+                exact = ((part[:, None, :] - c[near]) ** 2).sum(axis=2)
+                np.minimum(radius, _kth(own, c_id[near], exact, k), out=radius)
+            on = bound <= (radius * (1 + 1e-9) + slack)[:, None]
+            some = on.any(axis=0)
+            left, on = left[some], on[:, some]
+        # distances of the survivors, and exactly of those that can be among the k nearest
+        d = _squared(part, c[left], own_norms[left])
+        d[~on] = np.inf
+        if len(left) > take:
+            top = np.partition(d, take - 1, axis=1)[:, take - 1]
+            on &= d <= (np.minimum(top, radius) * (1 + 1e-9) + 2 * slack)[:, None]
+        r, s = np.nonzero(on)
         s = left[s]
         for x in range(0, len(r), 1 << 15):  # in pieces, to bound memory
             i, j = r[x : x + (1 << 15)], s[x : x + (1 << 15)]
-            d = ((part[i] - c[j]) ** 2).sum(axis=1)
-            ok = (d <= radius[i]) & (c_id[j] != q_id[at + i])
+            ok = c_id[j] != own[i]
             rows.append(i[ok] + at)
             ids.append(c_id[j[ok]])
-            dist.append(d[ok])
+            dist.append(((part[i[ok]] - c[j[ok]]) ** 2).sum(axis=1))
     r, i, d = np.concatenate(rows), np.concatenate(ids), np.concatenate(dist)
     order = np.lexsort((d, i, r))
     r, i, d = r[order], i[order], d[order]
