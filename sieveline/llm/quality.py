@@ -39,7 +39,7 @@ ROUNDS = 150
 L2 = 2e-4
 #: Words in fewer documents of the sample, or that tell good from bad by fewer standard errors, have no weight.
 MIN_DOCS = 5
-Z = 5.0
+Z = 4.0
 #: Bytes of the beginnings of words that are features beside whole words.
 PREFIXES = (4, 5)
 _SYMBOL = np.zeros(256, bool)
