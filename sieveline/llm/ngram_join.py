@@ -19,10 +19,9 @@ search and 48 in the comparison of two sets):
    move to where their first set is before they are turned into pairs. Most lists of a
    group of copies meet there, so pairs are counted where they arise: what is shuffled
    follows the lists, not the square of the group times the length of its texts.
-4. Candidates are verified on their whole sets. Each pair goes to the cell of the
-   first candidate partner of its first set (of that set's first partner, and so on, a
-   few steps), so the sets of a group of copies travel once, not once a pair; a cell of
-   very many pairs is cut into a grid.
+4. Candidates are verified on their whole sets. Each pair goes to a cell that nearly all
+   pairs of its group of similar sets have in common, so the sets of a group of copies
+   travel once, not once a pair; a cell of very many pairs is cut into a grid.
 
 Defined results. Null and word-less texts have the empty set and are in no pair.
 Texts of fewer than n words are one n-gram of all their words. Rows without doc_id
@@ -57,6 +56,8 @@ FILTER_BITS = 1 << 29
 #: Pairs of a cell above which it is cut into a grid, and of a group of cells that one call verifies.
 CELL_PAIRS = 100_000
 GROUP_PAIRS = 2_000
+#: Entries of a list up to which those that can't be similar to any other are dropped.
+SHORT = 16
 #: Pairs that a task counts in memory at once.
 HELD_PAIRS = 1 << 21
 
@@ -222,6 +223,31 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Recor
         yield pa.concat_batches(held)
 
 
+def _met(n_i: np.ndarray, n_j: np.ndarray, pos_i: np.ndarray, pos_j: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two sets that meet at these positions can be similar, and in how much they overlap then."""
+    need = t / (1 + t) * (n_i.astype(np.float64) + n_j) - 1e-9
+    ok = (n_i >= t * n_j - 1e-9) & (n_j >= t * n_i - 1e-9)
+    return ok & ((pos_i == 0x7FFFFFFF) | (np.minimum(n_i - pos_i, n_j - pos_j) - 1 >= need - SUBSET)), need
+
+
+def _useful(run: np.ndarray, size: np.ndarray, pos: np.ndarray, t: float) -> np.ndarray:
+    """Entries that can be similar to another of their list, in lists of up to SHORT entries; all of longer ones."""
+    length = np.bincount(run)[run]
+    first = np.searchsorted(run, run)
+    after = first + length - np.arange(len(run)) - 1
+    useful = length > SHORT
+    short = np.flatnonzero(~useful)
+    for step in range(1, SHORT):
+        i = short[after[short] >= step]
+        if not len(i):
+            break
+        j = i + step
+        ok, _ = _met(size[i], size[j], pos[i], pos[j], t)
+        useful[i[ok]] = True
+        useful[j[ok]] = True
+    return useful
+
+
 def _shared_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """A row (first set, sets, sizes, places of each list one after the other) for all lists of the same sets."""
     run = np.concatenate([np.full(len(p[0]), i, np.int64) << 40 for i, p in enumerate(parts)]) + np.concatenate([p[0] for p in parts])
@@ -253,7 +279,7 @@ def _shared_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     )
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
     """From postings sorted by key: the lists of two sets or more, those of the same sets in one row."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
@@ -271,9 +297,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, sid, at = run[fresh], sid[fresh], at[fresh]
         many = np.bincount(run)[run] > 1
         run, sid, at = run[many], sid[many], at[many]
+        size, pos = (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)
+        keep = _useful(run, size, pos, t)
+        run, sid, size, pos = run[keep], sid[keep], size[keep], pos[keep]
         if not len(run):
             continue
-        held.append((run, sid, (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)))
+        held.append((run, sid, size, pos))
         count += len(run)
         if count > HELD_PAIRS:
             yield _shared_rows(held)
@@ -300,8 +329,6 @@ def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 def _pairs(t: float):
     """From lists: (a, [b], [need], [met]), each pair once for each time that memory is emptied."""
-    share = t / (1 + t)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -326,12 +353,9 @@ def _pairs(t: float):
                 for x in range(0, len(live), HELD_PAIRS):
                     i = live[x : x + HELD_PAIRS]
                     j = i + step
-                    need_all = share * (n[i].astype(np.float64) + n[j]) - 1e-9
-                    ok = (n[i] >= t * n[j] - 1e-9) & (n[j] >= t * n[i] - 1e-9)
-                    subset = pos[i] == 0x7FFFFFFF
-                    ok &= subset | (np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need_all - SUBSET)
+                    ok, need_all = _met(n[i], n[j], pos[i], pos[j], t)
                     i, j = i[ok], j[ok]
-                    need = np.where(subset[ok], 1, np.minimum(SUBSET, np.ceil(need_all[ok]))).astype(np.int8)
+                    need = np.where(pos[i] == 0x7FFFFFFF, 1, np.minimum(SUBSET, np.ceil(need_all[ok]))).astype(np.int8)
                     held.append((sid[i], sid[j], need, np.ones(len(i), np.int8)))
                     size += len(i)
                     if size > HELD_PAIRS:
@@ -359,11 +383,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _grouped(a[ok], {"b": b[ok]})
 
 
+def _bit(sid: np.ndarray, doc_id: np.ndarray, m: int) -> np.ndarray:
+    return textvec.mix(textvec.mix(sid.view(np.uint64)) + doc_id.view(np.uint64)) & np.uint64(m - 1)
+
+
 def _bits(m: int):
-    """Bits (mixed sid modulo m) of a task's sids, in non-empty chunks."""
+    """Bits of a task's (sid, doc_id), in non-empty chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [textvec.mix(np.asarray(b.column("sid")).view(np.uint64)) & np.uint64(m - 1) for b in batches]
+        found = [_bit(np.asarray(b.column("sid")), np.asarray(b.column("doc_id")), m) for b in batches]
         bits = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         chunk = (bits >> np.uint64(17)).astype(np.int64)
         for c in np.unique(chunk):
@@ -397,17 +425,16 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def _wanted(n: int, bits):
-    """(sid, set) of the texts whose sid may be wanted."""
+    """(sid, set) of the texts whose (sid, doc_id) may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = bits.value
-        m = np.uint64(len(field) * 8 - 1)
         for batch in batches:
             for part in textvec.slices(batch, "text"):
                 h, doc = _sets(part.column("text"), n)
                 first = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 sid = _set_ids(h, first)
-                b = textvec.mix(sid.view(np.uint64)) & m
+                b = _bit(sid, np.asarray(part.column("doc_id")), len(field) * 8)
                 hit = (field[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1
                 hit = np.flatnonzero(hit & (np.diff(first) > 0))
                 if len(hit):
@@ -461,7 +488,7 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     order = sc.broadcast(counts)
 
     rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order), "key long, sid long, at long")
-    lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_lists, "lead long, sids array<long>, sizes array<int>, places array<int>")
+    lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _lists(batches, threshold), "lead long, sids array<long>, sizes array<int>, places array<int>")
     met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, need array<tinyint>, met array<tinyint>")
     pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b array<long>")
     pairs = scratch.save(pairs, "ngram-candidates")
@@ -471,15 +498,21 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     while bits < min(FILTER_BITS, 32 * total):
         bits *= 2
     ends = pairs.select(F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
+    # one document of each set brings it
+    ends = ends.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
     field = np.zeros(bits // 8, np.uint8)
     for row in ends.mapInArrow(_bits(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or_up, "chunk int, counts binary").collect():
         field[row.chunk << 14 : (row.chunk + 1) << 14] = np.frombuffer(row.counts, np.uint8)
 
-    # the cell of a pair: the first partner of a, or a itself, and the same of that set, twice
-    first = pairs.select("a", F.explode("b").alias("x")).groupBy("x").agg(F.min("a").alias("first"))
+    # the cell of a pair is a label of its first set that, in groups of similar sets,
+    # nearly all have in common: the least first partner of its partners, and so on
+    edges = pairs.select("a", F.explode("b").alias("x"))
+    least = edges.groupBy("x").agg(F.min("a").alias("first"))
+    first = edges.join(least, "x").groupBy(F.col("a").alias("x")).agg(F.min("first").alias("first"))
+    first = scratch.save(least.join(first.withColumnRenamed("first", "other"), "x", "full").select("x", F.least("first", "other").alias("first")), "ngram-first")
     for _ in range(2):
         again = first.select(F.col("x").alias("x0"), F.col("first").alias("first0"))
-        first = scratch.save(first.join(again, F.col("first") == F.col("x0"), "left").select("x", F.coalesce("first0", "first").alias("first")), "ngram-first")
+        first = scratch.save(first.join(again, F.col("first") == F.col("x0"), "left").select("x", F.least("first0", "first").alias("first")), "ngram-first")
     placed = pairs.join(first, pairs.a == first.x, "left").select(F.coalesce("first", "a").alias("cell"), "a", "b")
     grid = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.sqrt(F.sum(F.size("b")) / CELL_PAIRS)).cast("long").alias("g")).filter("g > 1")
     # cells to be cut have more than CELL_PAIRS pairs each, so they are few beside the pairs
@@ -492,7 +525,7 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     placed = placed.select(F.pmod(F.xxhash64("cell", "h", "s.k"), F.lit(groups_of_cells)).alias("cell"), "a", F.col("s.b").alias("b"))
     placed = scratch.save(placed, "ngram-cells")
     needed = placed.select(F.col("cell").alias("spot"), F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
-    sets = texts.select("text").mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
+    sets = texts.mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
     sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "grams")
     checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
     return members.distinct(), checked
