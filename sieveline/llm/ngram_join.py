@@ -57,7 +57,7 @@ FILTER_BITS = 1 << 29
 CELL_PAIRS = 100_000
 GROUP_PAIRS = 2_000
 #: Entries of a list up to which those that can't be similar to any other are dropped.
-SHORT = 16
+SHORT = 64
 #: Pairs that a task counts in memory at once.
 HELD_PAIRS = 1 << 21
 
@@ -194,8 +194,9 @@ def _postings(n: int, t: float, light: int, order):
                     keys.append(key)
                     sids.append(np.full(len(key), sid[i]))
                     packed.append(np.full(len(key), (m << 32) | 0x7FFFFFFF))
+                # 48 bits of a key are enough to meet by, and the zeros in front take no room when moved
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(packed))],
+                    [pa.array((np.concatenate(keys) & ~np.uint64(0xFFFF)).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(packed))],
                     names=["key", "sid", "at"],
                 )
 
@@ -328,7 +329,7 @@ def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 
 def _pairs(t: float):
-    """From lists: (a, [b], [need], [met]), each pair once for each time that memory is emptied."""
+    """From lists: (a, [b], [need and met]), each pair once for each time that memory is emptied."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -337,7 +338,8 @@ def _pairs(t: float):
             a, b, need, met = _counted(held)
             for x in range(0, len(a), 1 << 18):
                 y = slice(x, x + (1 << 18))
-                yield _grouped(a[y], {"b": b[y], "need": need[y], "met": met[y]})
+                # met in units of 4, need (at most SUBSET) below
+                yield _grouped(a[y], {"b": b[y], "code": (np.minimum(met[y], 24) * 4 + need[y]).astype(np.int8)})
 
         for batch in batches:
             count, total = (np.asarray(pa.compute.list_value_length(batch.column(c))).astype(np.int64) for c in ("sids", "places"))
@@ -373,12 +375,12 @@ def _pairs(t: float):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (a, [b], [need], [met]) sorted by a: (a, [b]) of the pairs that met often enough."""
+    """From (a, [b], [need and met]) sorted by a: (a, [b]) of the pairs that met often enough."""
     for batch in whole_runs(batches, "a"):
         count = np.asarray(pa.compute.list_value_length(batch.column("b")))
         a = np.repeat(np.asarray(batch.column("a")), count)
-        b, need, met = (np.asarray(batch.column(c).flatten()) for c in ("b", "need", "met"))
-        a, b, need, met = _counted([(a, b, need, met)])
+        b, code = (np.asarray(batch.column(c).flatten()) for c in ("b", "code"))
+        a, b, need, met = _counted([(a, b, code & 3, code >> 2)])
         ok = met >= need
         yield _grouped(a[ok], {"b": b[ok]})
 
@@ -489,7 +491,8 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
 
     rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order), "key long, sid long, at long")
     lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _lists(batches, threshold), "lead long, sids array<long>, sizes array<int>, places array<int>")
-    met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, need array<tinyint>, met array<tinyint>")
+    lists = scratch.save(lists, "ngram-lists")
+    met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, code array<tinyint>")
     pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b array<long>")
     pairs = scratch.save(pairs, "ngram-candidates")
 
