@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 _BLANK = r" \t\r\n"
 _PUNCT = r"!-/:-@\[-`{-~"
-#: Leftmost-first form of a longest-match lexer; the order of the branches matters.
+#: Leftmost-first form of a longest-match lexer; the order of the branches for numbers matters.
 TOKEN = "|".join(
     [
+        rf"[^{_BLANK}{_PUNCT}0-9](?:[^{_BLANK}<>]*[^{_BLANK}{_PUNCT}])?",
         r"-[0-9]+(?:\.[0-9]*)?",
         rf"[0-9]+[^{_BLANK}<>0-9][^{_BLANK}<>]*[^{_BLANK}{_PUNCT}]",
         rf"[0-9]+[^{_BLANK}{_PUNCT}0-9]",
         r"[0-9]+\.?",
-        rf"[^{_BLANK}{_PUNCT}0-9](?:[^{_BLANK}<>]*[^{_BLANK}{_PUNCT}])?",
     ]
 )
 MAX_TOKEN_BYTES = 50

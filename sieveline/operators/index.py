@@ -206,14 +206,23 @@ class Index:
         self.spark.conf.set(rule, ",".join(filter(None, [before, post.NO_REPEAT])))
         try:
             documents.drop("tokens").write.mode("overwrite").parquet(at["docs"])
-            post.clustered(post.build(documents.select("doc_id", "tokens")), files).write.mode("overwrite").parquet(at["postings"])
+            # kept unordered first, so that sampling the ranges doesn't tokenise once more
+            staged = f"{self.path}/staging/postings-{batch}"
+            post.build(documents.select("doc_id", "tokens")).write.mode("overwrite").parquet(staged)
         finally:
             self.spark.conf.set(rule, before) if before is not None else self.spark.conf.unset(rule)
+        post.clustered(self.spark.read.schema(post.POSTINGS).parquet(staged), files).write.mode("overwrite").parquet(at["postings"])
+        self.folder.delete(f"staging/postings-{batch}")
         post.term_stats(self.spark.read.schema(post.POSTINGS).parquet(at["postings"])).write.mode("overwrite").parquet(at["stats"])
         n, most = self.spark.read.parquet(at["docs"]).agg(F.count("*"), F.max("doc_id")).collect()[0]
         self._commit({"batch": batch, "tables": list(at), "docs": n, "max_doc_id": most, "source": source})
         return n
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Few splits of a small input are spread over all cores; a large input has splits enough and isn't moved."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     def _last_id(self) -> int:
         return max((c["max_doc_id"] for c in self._commits() if c["max_doc_id"] is not None), default=0)
 
@@ -230,7 +239,7 @@ class Index:
             rows = rows.select("doc_id", *[c for c in wanted if c != "doc_id"]).filter("doc_id is not null")
         else:
             rows, staging = self._numbered(rows.select(*wanted), self._next(self._commits()), self._last_id() + 1)
-        documents = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias("tokens"))
+        documents = self._spread(rows).select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias("tokens"))
         n = self._add(documents, source, files)
         if staging:
             self.folder.delete(staging)

@@ -42,9 +42,24 @@ def exploded(documents: DataFrame) -> DataFrame:
 
 
 def build(documents: DataFrame) -> DataFrame:
-    """Postings from (doc_id, tokens)."""
-    grouped = exploded(documents).groupBy("field", "word", "doc_id")
-    return grouped.agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Postings from (doc_id, tokens), a row a document.
+
+    The tokens of a document are sorted by word within their array and cut where the
+    word changes, so that no shuffle is needed before the postings are clustered.
+    """
+    placed = F.sort_array(F.transform("tokens", lambda t, i: F.struct(t["word"].alias("word"), t["field"].alias("field"), i.alias("pos"))))
+    rows = documents.select("doc_id", placed.alias("placed"))
+    at = lambda i: F.get("placed", i)
+    fresh = lambda i: (i == 0) | (at(i)["word"] != at(i - 1)["word"]) | (at(i)["field"] != at(i - 1)["field"])
+    rows = rows.select("doc_id", "placed", F.filter(F.transform("placed", lambda _, i: i), fresh).alias("starts"))
+
+    def posting(start: Column, k: Column) -> Column:
+        length = F.coalesce(F.get("starts", k + 1), F.size("placed")) - start
+        positions = F.transform(F.slice("placed", start + 1, length), lambda x: x["pos"])
+        return F.struct(at(start)["field"].alias("field"), at(start)["word"].alias("word"), positions.alias("positions"))
+
+    found = rows.select("doc_id", F.explode(F.transform("starts", posting)).alias("p"))
+    return found.select("p.field", "p.word", "doc_id", "p.positions")
 
 
 def clustered(postings: DataFrame, files: int | None = None) -> DataFrame:
