@@ -32,6 +32,7 @@ from . import postings as post
 
 STATS = "field string, word string, df long, occurrences long"
 VERSION = 1
+_TOKENS = "_tokens"  # of a document that is being added; stored columns may be called tokens
 
 
 class IndexStateError(RuntimeError):
@@ -195,7 +196,7 @@ class Index:
         return numbered.drop("_place", "_part", "_offset"), scratch
 
     def _add(self, documents: DataFrame, source: str | None = None, files: int | None = None) -> int:
-        """Commits documents(doc_id, tokens, stored columns...) as a batch; the number of documents."""
+        """Commits documents(doc_id, _tokens, stored columns...) as a batch; the number of documents."""
         commits = self._commits()
         if source is not None and any(source in (c.get("source"), *c.get("sources", [])) for c in commits):
             return 0  # a repeated micro-batch
@@ -205,10 +206,10 @@ class Index:
         before = self.spark.conf.get(rule, None)
         self.spark.conf.set(rule, ",".join(filter(None, [before, post.NO_REPEAT])))
         try:
-            documents.drop("tokens").write.mode("overwrite").parquet(at["docs"])
+            documents.drop(_TOKENS).write.mode("overwrite").parquet(at["docs"])
             # kept unordered first, so that sampling the ranges doesn't tokenise once more
             staged = f"{self.path}/staging/postings-{batch}"
-            post.build(documents.select("doc_id", "tokens")).write.mode("overwrite").parquet(staged)
+            post.build(documents.select("doc_id", F.col(_TOKENS).alias("tokens"))).write.mode("overwrite").parquet(staged)
         finally:
             self.spark.conf.set(rule, before) if before is not None else self.spark.conf.unset(rule)
         post.clustered(self.spark.read.schema(post.POSTINGS).parquet(staged), files).write.mode("overwrite").parquet(at["postings"])
@@ -239,7 +240,7 @@ class Index:
             rows = rows.select("doc_id", *[c for c in wanted if c != "doc_id"]).filter("doc_id is not null")
         else:
             rows, staging = self._numbered(rows.select(*wanted), self._next(self._commits()), self._last_id() + 1)
-        documents = self._spread(rows).select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias("tokens"))
+        documents = self._spread(rows).select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias(_TOKENS))
         n = self._add(documents, source, files)
         if staging:
             self.folder.delete(staging)
@@ -247,12 +248,12 @@ class Index:
 
     def add_entries(self, entries: DataFrame) -> int:
         """Adds documents from rows (doc_id, seq, field, text)."""
-        return self._add(post.entry_tokens(entries))
+        return self._add(post.entry_tokens(entries).withColumnRenamed("tokens", _TOKENS))
 
     def add_entry(self, entry: Entry) -> int:
         """Adds one document and returns its id."""
         doc_id = self._last_id() + 1
-        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("word", T.StringType())])))])
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(_TOKENS, T.ArrayType(T.StructType([T.StructField("field", T.StringType()), T.StructField("word", T.StringType())])))])
         self._add(self.spark.createDataFrame([(doc_id, entry.tokens)], schema), files=1)
         return doc_id
 

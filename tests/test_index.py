@@ -198,7 +198,8 @@ def test_random_trees(spark):
 def test_ids_are_given_out_and_batches_merged(spark, tmp_path):
     index = Index.create(spark, str(tmp_path / "i"))
     texts = spark.createDataFrame([(f"word{i % 3} x",) for i in range(20)] + [(None,), ("",)], "t string").repartition(3)
-    assert index.add_documents(texts, {"body": "t"}, ["t"]) == 22
+    texts = texts.selectExpr("*", "1 as tokens", "2 as word", "3 as positions")
+    assert index.add_documents(texts, {"body": "t"}, ["t", "tokens", "word", "positions"]) == 22
     assert index.add_documents(texts, {"body": "t"}, ["t"]) == 22
     assert sorted(index.search("*")) == list(range(1, 45))
     index.add_label(1, "l")
