@@ -49,7 +49,7 @@ def make(seed):
     docs = []
     for i in range(60):
         t = text(rnd.randint(0, 60))
-        for _ in range(rnd.randint(0, 2)):
+        for _ in range(rnd.randint(1, 3)):
             item = rnd.choice(items)
             a = rnd.randint(0, len(item) - 1)
             at = rnd.randint(0, len(t))
