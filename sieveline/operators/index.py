@@ -219,11 +219,6 @@ class Index:
         self._commit({"batch": batch, "tables": list(at), "docs": n, "max_doc_id": most, "source": source})
         return n
 
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Few splits of a small input are spread over all cores; a large input has splits enough and isn't moved."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
     def _last_id(self) -> int:
         return max((c["max_doc_id"] for c in self._commits() if c["max_doc_id"] is not None), default=0)
 
@@ -240,7 +235,7 @@ class Index:
             rows = rows.select("doc_id", *[c for c in wanted if c != "doc_id"]).filter("doc_id is not null")
         else:
             rows, staging = self._numbered(rows.select(*wanted), self._next(self._commits()), self._last_id() + 1)
-        documents = self._spread(rows).select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias(_TOKENS))
+        documents = storage.spread(rows).select(F.col("doc_id").cast("long").alias("doc_id"), *stored, post.field_tokens({f: F.col(c).cast("string") for f, c in fields.items()}).alias(_TOKENS))
         n = self._add(documents, source, files)
         if staging:
             self.folder.delete(staging)

@@ -136,8 +136,12 @@ def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_ops.label_counts(index_of(spark, sf_dir).labels())
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(index_tokens("text")).alias("pos", "word"))
 
 
@@ -164,7 +168,7 @@ def term_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snippets(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = _texts(spark, sf_dir)
         spans = docs.select("doc_id", F.explode(snippets(parse(text), "body", F.col("text"))).alias("s"))
         return spans.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 

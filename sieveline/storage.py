@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
 
@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Few splits of a small input over all cores; a large input has splits enough and isn't moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
