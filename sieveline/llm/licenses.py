@@ -2,14 +2,17 @@
 
 A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` (lines that
 are visibly wrapped are joined first), and every sentence is normalised to its
-lower-case ASCII letters and digits, parted by single blanks. Known licence
-sentences have identifiers (``SENTENCES``; several wordings may share one). The
-identifiers of a text, in order, with a gap wherever other sentences lie between,
-make its sequence. ``RULES`` lists sequences for licences, the more specific first:
-each rule that occurs adds its licence and takes its sentences away from later rules.
-
-The texts' sentences are joined with the table of known ones, which is as small as
-the rules are, so all texts are scanned in one pass and only hits are shuffled.
+lower-case ASCII letters and digits, parted by single blanks, so indents and comment
+marks don't count. Known licence sentences have identifiers (``SENTENCES``; several
+wordings may share one). They may go over any line ends, but not over the end of a
+sentence. The identifiers of a text, in order, with a gap wherever other sentences
+lie between, make its sequence; blank lines and bare list numbers are no sentences.
+``RULES`` lists sequences for licences, the more specific first: each rule that
+occurs adds its licence and takes its sentences away from later rules.
+
+All known sentences are one regular expression, so all texts are scanned in one pass
+and only hits are shuffled. The SQL differs: there, blank lines and list numbers make
+gaps, and sentences don't go over line ends that aren't visibly wrapped.
 
 Defined results: a row (doc_id, licenses, sentences) for each text with a known
 sentence; ``licenses`` may be empty if no rule matches. Null and empty texts have
@@ -19,7 +22,7 @@ null doc_id is a value like any other. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: (identifier, sentence)
@@ -115,6 +118,8 @@ _WRAP_LOWER = (r"([a-zA-Z,;)\"])\r?\n([a-z(])", "1 2")
 _WRAP_UPPER = (r"([A-Z][A-Z,]+)\r?\n([A-Z][A-Z])", "1 2")
 _END = r"[.!?]+(?:[ \t\r]+|$)|\r?\n|[.!?]+\r?\n"
 _NOISE = r"[^a-z0-9]+"
+#: Nothing but bare list numbers.
+_NUMBERS = r"\A(?:[SL][0-9]{1,3})*\z"
 
 
 def normalised(sentence: str) -> str:
@@ -123,30 +128,42 @@ def normalised(sentence: str) -> str:
     return re.sub(_NOISE, " ", sentence.lower()).strip()
 
 
-def known(spark: SparkSession) -> DataFrame:
-    rows = sorted({(normalised(s), i) for i, s in SENTENCES})
-    return spark.createDataFrame(rows, "sentence string, sentence_id string")
-
-
 def _unwrapped(text):
     for pattern, _ in (_WRAP_LOWER, _WRAP_UPPER):
         text = F.regexp_replace(text, pattern, "$1 $2")
     return text
 
 
+def _known_pattern() -> str:
+    """Any known sentence between two ends, where single words may be parted by line ends."""
+    sentences = sorted({normalised(s) for _, s in SENTENCES}, key=lambda s: (-len(s), s))
+    return f"[SL]({'|'.join(s.replace(' ', '[ L]') for s in sentences)})(?=[SL])"
+
+
+def _marked(text):
+    """The normalised text, with S for the ends of sentences and L for other line ends."""
+    text = F.regexp_replace(F.lower(_unwrapped(text)), r"[.!?]+(?:[ \t\r\n]+|\z)", "S")
+    for pattern, mark in ((r"[^a-z0-9S\n]+", " "), (r" ?\n[ \n]*", "L"), (r"[ L]?S[ LS]*", "S")):
+        text = F.regexp_replace(text, pattern, mark)
+    return F.concat(F.lit("S"), F.btrim(text, F.lit(" LS")), F.lit("S"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = texts.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(_unwrapped(F.col("text")), _END)).alias("at", "raw"))
-    # sentences of the table's lengths only; the rest can't be known
-    sizes = [len(normalised(s)) for _, s in SENTENCES]
-    cut = cut.filter(F.length("raw") >= min(sizes))
-    said = cut.select("doc_id", "version", "at", F.trim(F.regexp_replace(F.lower("raw"), _NOISE, " ")).alias("sentence"))
-    hits = said.join(F.broadcast(known(spark)), "sentence")  # as small as SENTENCES
-    by_text = hits.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("at", "sentence_id"))).alias("found"))
-    parts = F.transform(
-        "found", lambda x, i: F.concat(F.when((i > 0) & (F.element_at("found", F.greatest(i, F.lit(1)))["at"] < x["at"] - 1), F.lit("~ ")).otherwise(F.lit("")), x["sentence_id"])
+    # B and E around each known sentence; what is before a B lies between two of them
+    said = texts.select("doc_id", F.xxhash64("text").alias("version"), F.regexp_replace(_marked(F.col("text")), _known_pattern(), "B$1E").alias("said"))
+    hits = said.filter(F.contains("said", F.lit("E"))).dropDuplicates(["doc_id", "version"])
+    ids = F.create_map(*[F.lit(x) for s in sorted({(normalised(s), i) for i, s in SENTENCES}) for x in s])
+    parts = F.split("said", "E")
+    found = F.transform(
+        F.slice(parts, 1, F.size(parts) - 1),
+        lambda x: F.struct(
+            (~F.substring_index(x, "B", 1).rlike(_NUMBERS)).alias("gap"),
+            F.element_at(ids, F.translate(F.substring_index(x, "B", -1), "L", " ")).alias("sentence_id"),
+        ),
     )
+    by_text = hits.select("doc_id", found.alias("found"))
+    parts = F.transform("found", lambda x, i: F.concat(F.when((i > 0) & x["gap"], F.lit("~ ")).otherwise(F.lit("")), x["sentence_id"]))
     by_text = by_text.select("doc_id", F.transform("found", lambda x: x["sentence_id"]).alias("sentences"), F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" ")).alias("seq"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f" {seq} ").alias("seq")) for name, seq in RULES])
     start = F.struct(F.col("seq").alias("seq"), F.expr("cast(array() as array<string>)").alias("names"))

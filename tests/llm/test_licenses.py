@@ -72,6 +72,77 @@ def test_cases(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2_BODY = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3_BODY = BSD2_BODY + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.
+"""
+
+
+def as_comment(text, mark):
+    return "".join(f"{mark}{line}".rstrip() + "\n" for line in text.split("\n"))
+
+
+def narrow(text):
+    """Each paragraph wrapped anew, before capitals and quotes, too."""
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, 31) for p in text.split("\n\n"))
+
+
+def test_verbatim_texts(spark):
+    forms = {
+        "plain": str,
+        "crlf": lambda t: t.replace("\n", "\r\n"),
+        "indent": lambda t: as_comment(t, "    "),
+        "block": lambda t: "/*\n" + as_comment(t, " * ") + " */\nint x;\n",
+        "hash": lambda t: as_comment(t, "# "),
+        "narrow": narrow,
+        "narrow block": lambda t: as_comment(narrow(t), " * "),
+    }
+    bodies = {"MIT": MIT_BODY, "BSD-2-Clause": BSD2_BODY + BSD_END, "BSD-3-Clause": BSD3_BODY + BSD_END}
+    cases = [(name, form, "Copyright (c) 2020 A\n\n" + body) for name, body in bodies.items() for form in forms]
+    rows = [(i, forms[form](text)) for i, (_, form, text) in enumerate(cases)]
+    # other sentences between still part them
+    rows.append((-1, BSD2_BODY.replace("\n2. ", "\nSomething else.\n\n2. ")))
+    got = {r.doc_id: list(r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(name, form): got.get(i) for i, (name, form, _) in enumerate(cases)} == {(name, form): [name] for name, form, _ in cases}
+    assert got[-1] == []
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_sql(spark):
     duckdb = pytest.importorskip("duckdb")
