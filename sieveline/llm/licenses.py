@@ -4,15 +4,15 @@ A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` (lines
 are visibly wrapped are joined first), and every sentence is normalised to its
 lower-case ASCII letters and digits, parted by single blanks, so indents and comment
 marks don't count. Known licence sentences have identifiers (``SENTENCES``; several
-wordings may share one). They may go over any line ends, but not over the end of a
-sentence. The identifiers of a text, in order, with a gap wherever other sentences
+wordings may share one). They may go over any line ends, and over ends of sentences
+only where they are cut themselves ("v. 2.0"). The identifiers of a text, in order, with a gap wherever other sentences
 lie between, make its sequence; blank lines and bare list numbers are no sentences.
 ``RULES`` lists sequences for licences, the more specific first: each rule that
 occurs adds its licence and takes its sentences away from later rules.
 
 All known sentences are one regular expression, so all texts are scanned in one pass
 and only hits are shuffled. The SQL differs: there, blank lines and list numbers make
-gaps, and sentences don't go over line ends that aren't visibly wrapped.
+gaps, and sentences go neither over line ends that aren't visibly wrapped nor over cuts.
 
 Defined results: a row (doc_id, licenses, sentences) for each text with a known
 sentence; ``licenses`` may be empty if no rule matches. Null and empty texts have
@@ -135,9 +135,13 @@ def _unwrapped(text):
 
 
 def _known_pattern() -> str:
-    """Any known sentence between two ends, where single words may be parted by line ends."""
-    sentences = sorted({normalised(s) for _, s in SENTENCES}, key=lambda s: (-len(s), s))
-    return f"[SL]({'|'.join(s.replace(' ', '[ L]') for s in sentences)})(?=[SL])"
+    """Any known sentence between two ends, where single words may be parted by line ends,
+    and where the sentence itself is cut, as after the abbreviation in "v. 2.0", by that cut."""
+    import re
+
+    forms = {"[ LS]".join(n.replace(" ", "[ L]") for x in re.split(_END, s) if (n := normalised(x))): normalised(s) for _, s in SENTENCES}
+    sentences = sorted(forms, key=lambda x: (-len(forms[x]), x))
+    return f"[SL]({'|'.join(sentences)})(?=[SL])"
 
 
 def _marked(text):
@@ -159,7 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.slice(parts, 1, F.size(parts) - 1),
         lambda x: F.struct(
             (~F.substring_index(x, "B", 1).rlike(_NUMBERS)).alias("gap"),
-            F.element_at(ids, F.translate(F.substring_index(x, "B", -1), "L", " ")).alias("sentence_id"),
+            F.element_at(ids, F.translate(F.substring_index(x, "B", -1), "LS", "  ")).alias("sentence_id"),
         ),
     )
     by_text = hits.select("doc_id", found.alias("found"))

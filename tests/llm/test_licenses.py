@@ -143,6 +143,14 @@ def test_verbatim_texts(spark):
     assert got[-1] == []
 
 
+def test_each_sentence_is_found(spark):
+    header = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"
+    rows = [*enumerate(s for _, s in licenses.SENTENCES), (-1, header), (-2, "The MIT. License")]
+    got = {r.doc_id: (list(r.licenses), list(r.sentences)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i][1] if i in got else None for i in range(len(licenses.SENTENCES))} == {i: [x] for i, (x, _) in enumerate(licenses.SENTENCES)}
+    assert got[-1] == (["MPL-2.0"], ["mpl2-ref"]) and -2 not in got
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_sql(spark):
     duckdb = pytest.importorskip("duckdb")
