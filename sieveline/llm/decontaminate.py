@@ -8,8 +8,9 @@ of an item that contains it (and has ``LEAST`` words).
 
 A run to cut contains a window of ``LEAST`` words (or of the shortest length that
 can be cut) that an item contains. Windows are looked up by hash for all words of a
-batch at once, and only the stretches of consecutive hits are streamed, which gives
-the same lengths: outside them no run is long enough.
+batch at once, and only the stretches of consecutive hits are streamed: outside them
+no run is long enough. On the way, windows of 1, 2, ... words are looked up where the
+two windows within them were found, which gives the longest match of all other texts.
 
 An automaton holds at most ``TOKENS`` words of items and is broadcast; a larger
 benchmark makes several automata that mark the texts one after the other before
@@ -70,7 +71,8 @@ class Automaton:
             self.suffix[v] = self.depth[u] if u and self.cuts(u, self.depth[u]) else self.suffix[u]
         #: Every run that is cut has at least so many words.
         self.window = max(1, min([length, *(max(least, math.ceil(coverage * len(x) - 1e-9)) for x in items)]))
-        self.windows = sorted({tuple(x[i : i + self.window]) for x in items for i in range(len(x) - self.window + 1)})
+        #: The runs of 1, 2, ... words of the items, up to such windows.
+        self.windows = [sorted({tuple(x[i : i + n]) for x in items for i in range(len(x) - n + 1)}) for n in range(1, self.window + 1)]
 
     def _extend(self, last: int, word: int) -> int:
         go, link, depth = self.go, self.link, self.depth
@@ -157,32 +159,39 @@ class _Finder:
 
     def __init__(self, vocabulary: np.ndarray, automaton: Automaton):
         self.vocabulary, self.automaton = vocabulary, automaton
-        n = automaton.window
-        rows = np.array(automaton.windows, np.int64).reshape(-1, n)
-        h = np.zeros(len(rows), np.uint64)
-        for j in range(n):
-            h = h * np.uint64(0xC2B2AE3D27D4EB4F) + vocabulary[rows[:, j]]
-        self.windows = np.unique(h)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.windows >> np.uint64(44)).astype(np.int64)] = True
+        self.windows, self.bits = [], []
+        for n, runs in enumerate(automaton.windows, 1):
+            rows = np.array(runs, np.int64).reshape(-1, n)
+            h = np.zeros(len(rows), np.uint64)
+            for j in range(n):
+                h = h * np.uint64(0xC2B2AE3D27D4EB4F) + vocabulary[rows[:, j]]
+            bits = np.zeros(1 << 20, bool)
+            bits[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.windows.append(np.unique(h))
+            self.bits.append(bits)
+        automaton.windows = []  # not to be broadcast twice
 
     def find(self, w: textvec.Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
         """By text: the runs of words to cut, as indices into w, and the longest match."""
         n, m = self.automaton.window, len(w.hash)
         spans: dict[int, list[tuple[int, int]]] = {}
         longest: dict[int, int] = {}
-        if m < n or not len(self.windows):
-            return spans, longest
-        h = w.hash[: m - n + 1].copy()
-        for j in range(1, n):
-            h *= np.uint64(0xC2B2AE3D27D4EB4F)
-            h += w.hash[j : m - n + 1 + j]
-        hit = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.searchsorted(self.windows, h[hit])
-        at[at == len(self.windows)] = 0
-        hit = hit[(self.windows[at] == h[hit]) & (w.doc[hit] == w.doc[hit + n - 1])]
-        if not len(hit):
-            return spans, longest
+        hit, h = np.arange(m), w.hash
+        for k, (windows, bits) in enumerate(zip(self.windows, self.bits, strict=True), 1):
+            if k > 1:
+                # the windows of k - 1 words from here and from the next word on were found
+                both = np.flatnonzero(np.diff(hit) == 1)
+                both = both[w.doc[hit[both]] == w.doc[hit[both] + k - 1]]
+                hit, h = hit[both], h[both] * np.uint64(0xC2B2AE3D27D4EB4F) + w.hash[hit[both] + k - 1]
+            may = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
+            hit, h = hit[may], h[may]
+            at = np.searchsorted(windows, h)
+            at[at == len(windows)] = 0
+            found = windows[at] == h if len(windows) else np.zeros(0, bool)
+            hit, h = hit[found], h[found]
+            if not len(hit):
+                return spans, longest
+            longest.update(dict.fromkeys(np.unique(w.doc[hit]).tolist(), k))
         breaks = np.flatnonzero((np.diff(hit) > 1) | (np.diff(w.doc[hit]) > 0)) + 1
         for stretch in np.split(hit, breaks):
             a, b = int(stretch[0]), int(stretch[-1]) + n

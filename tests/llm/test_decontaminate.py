@@ -81,6 +81,17 @@ def test_table_against_brute_force(spark, tokens):
     assert 10 < cut < 60
 
 
+@pytest.mark.parametrize("tokens", [dc.TOKENS, 30])
+def test_longest_match_of_all_rows(spark, tokens):
+    docs, items = make(2)
+    short = [(100 + i, " ".join(words(text)[:i])) for i, (_, text) in enumerate(items)] + [(200, "none of these"), (201, "")]
+    for benchmark in (items, [x for x in items if len(words(x[1])) >= 20]):
+        got = run(spark, docs + short, benchmark, tokens=tokens)
+        want = {i: brute_runs(words(text), [words(x) for _, x in benchmark], dc.LENGTH, dc.COVERAGE, dc.LEAST)[1] for i, text in docs + short}
+        assert {i: r.longest_match for i, r in got.items()} == want
+        assert want[200] == 0 and set(range(1, 5)) <= set(want.values())
+
+
 def test_odd_rows(spark):
     items = [(1, None), (2, ""), (3, "a b"), (4, "One two, three four five six seven!"), (4, "One two, three four five six seven!"), (None, "9 8 7 6 5 4 3 2 1 0 11 12")]
     docs = spark.createDataFrame(
