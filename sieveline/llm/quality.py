@@ -4,7 +4,7 @@ Documents have features: which words and beginnings of words they contain, of th
 that tell good from bad in the sample, and shape statistics (shares of capitals,
 symbols, digits and repeated words, word length and so on). The labels give preferences: a good document (quality 1, not toxic) is preferred to a
 bad one. The score of a document is linear in its features; weights minimise the
-logistic loss of the differences of features over pairs of a good and a bad
+logistic loss of the differences of features over all pairs of a good and a bad
 document, with an L2 penalty. All documents are scored, and those below a quantile
 of all scores are rejected. The quantile is given, or is the share of bad documents
 among the labelled ones.
@@ -15,8 +15,8 @@ the threshold cover all documents.
 
 Defined results, one row a row: (doc_id, score, keep). Null and word-less texts have
 no words and zeros as statistics, and are rejected: score null, keep false; they
-don't count for the quantile. Ties at the threshold are kept. Labels that are null
-or of unknown documents are ignored; of repeated labels the worst counts. Without
+don't count for the quantile. Ties at the threshold are kept. Labels without a
+quality that aren't toxic, or of unknown documents, are ignored; of repeated labels the worst counts. Without
 both kinds of labels all scores are 0 and all documents with words are kept. Other
 columns are ignored. An empty table gives no rows.
 """
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from . import scratch, textvec
 
 MAX_LABELLED = 12_000
-PAIRS = 200_000
+#: Pairs of documents that are held at once.
+PAIRS_HELD = 1 << 18
 ROUNDS = 150
 L2 = 2e-4
 #: Words in fewer documents of the sample, or that tell good from bad by fewer standard errors, have no weight.
@@ -147,8 +148,23 @@ def telling(doc: np.ndarray, mark: np.ndarray, good: np.ndarray) -> np.ndarray:
     return values[(total >= MIN_DOCS) & (np.abs(z) >= Z)]
 
 
-def fit_pairs(stats: np.ndarray, doc: np.ndarray, mark: np.ndarray, good: np.ndarray, seed: int = 7) -> Model:
-    """Bradley-Terry weights from pairs of a good and a bad document, by Adam on all pairs. Marks are distinct for each text."""
+def pushes(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The derivatives of the mean logistic loss over all pairs, by the scores of the good and of the bad documents."""
+    good, bad = np.exp(np.clip(good, -300, 300)), np.exp(-np.clip(bad, -300, 300))
+    by_good, by_bad = np.zeros(len(good)), np.zeros(len(bad))
+    step = max(1, PAIRS_HELD // len(bad))
+    for i in range(0, len(good), step):
+        push = np.multiply.outer(good[i : i + step], bad)
+        push += 1
+        np.divide(-1, push, out=push)
+        by_good[i : i + step] = push.sum(axis=1)
+        by_bad -= push.sum(axis=0)
+    n = len(good) * len(bad)
+    return by_good / n, by_bad / n
+
+
+def fit_pairs(stats: np.ndarray, doc: np.ndarray, mark: np.ndarray, good: np.ndarray) -> Model:
+    """Bradley-Terry weights from all pairs of a good and a bad document, by Adam. Marks are distinct for each text."""
     mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
     k = stats.shape[1] * 3
     yes, no = np.flatnonzero(good), np.flatnonzero(~good)
@@ -159,16 +175,13 @@ def fit_pairs(stats: np.ndarray, doc: np.ndarray, mark: np.ndarray, good: np.nda
     model = Model(marks, np.zeros(m), np.zeros(k), mean, scale)
     doc, col = model.columns(doc, mark)
     x = model._shape(stats).astype(np.float64)
-    rng = np.random.default_rng(seed)
-    a = yes[np.arange(PAIRS) % len(yes)]
-    b = no[rng.integers(0, len(no), PAIRS)]
     theta = np.zeros(m + k)
     first, second = np.zeros(m + k), np.zeros(m + k)
     n = len(good)
     for step in range(1, ROUNDS + 1):
         s = np.bincount(doc, weights=theta[:m][col], minlength=n) + x @ theta[m:]
-        push = -1 / (1 + np.exp(np.clip(s[a] - s[b], -30, 30)))  # derivative by the difference
-        g = (np.bincount(a, weights=push, minlength=n) - np.bincount(b, weights=push, minlength=n)) / PAIRS
+        g = np.zeros(n)
+        g[yes], g[no] = pushes(s[yes], s[no])
         grad = np.concatenate([np.bincount(col, weights=g[doc], minlength=m), x.T @ g]) + L2 * theta
         first += 0.1 * (grad - first)
         second += 0.01 * (grad * grad - second)
@@ -194,8 +207,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[Model, float]:
     """(model, share of bad documents among all labelled ones)."""
-    bad = (F.col("quality") == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
-    marks = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad.cast("int")).alias("bad"))
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    marks = labels.filter("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad.cast("int")).alias("bad"))
     share = marks.agg(F.avg("bad").alias("share")).collect()[0].share
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # at most max_labelled rows of 12 bytes

@@ -80,3 +80,22 @@ def test_gradient_prefers_the_good():
     mark = np.where(good, 7, 9).astype(np.uint32)
     m = quality.fit_pairs(stats, doc, mark, good)
     assert m.marks.tolist() == [7, 9] and m.weight[0] > 0 > m.weight[1]
+
+
+def test_all_pairs_count():
+    rng = np.random.default_rng(5)
+    stats, good = rng.normal(size=(60, len(quality.STATS))), np.arange(60) % 3 > 0
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    by = rng.permutation(60)
+    one, other = quality.fit_pairs(stats, *none, good), quality.fit_pairs(stats[by], *none, good[by])
+    assert np.abs(one.stat).max() > 0.1 and np.allclose(one.stat, other.stat, atol=1e-6)
+    a, b = rng.normal(size=700) * 5, rng.normal(size=900) * 5
+    push = -1 / (1 + np.exp(a[:, None] - b[None]))
+    by_good, by_bad = quality.pushes(a, b)
+    assert np.allclose(by_good, push.mean(axis=1) / len(a), atol=1e-12) and np.allclose(by_bad, -push.mean(axis=0) / len(b), atol=1e-12)
+
+
+def test_toxic_without_quality_is_bad(spark):
+    docs = spark.createDataFrame([(i, f"calm{i} calm") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, None, 1), (1, 1, 0), (2, 1, None), (3, None, 0), (4, None, None), (5, 0, None)], "doc_id long, quality int, toxic int")
+    assert quality.fit(docs, labels)[1] == 0.5
