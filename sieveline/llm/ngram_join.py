@@ -15,6 +15,10 @@ search and 48 in the comparison of two sets):
    meet in SUBSET lists are candidates. The size from which sets are heavy is where
    the summed cost of both is least. Size and position filters drop pairs that can't
    reach the threshold.
+   A task lists equal sets once, however many copies it reads. A key that more than
+   ``HOT`` sets may have, by the counters of its n-grams, is cut: sets are spread over
+   g parts by hash, and each pair of parts is a list of its own, so no list outgrows a
+   task and every pair of sets still meets in exactly one of them.
 3. The lists are made where their key is, those of the same sets as one row, and then
    move to where their first set is before they are turned into pairs. Most lists of a
    group of copies meet there, so pairs are counted where they arise: what is shuffled
@@ -23,18 +27,27 @@ search and 48 in the comparison of two sets):
    pairs of its group of similar sets have in common, so the sets of a group of copies
    travel once, not once a pair; a cell of very many pairs is cut into a grid.
 
-Defined results. Null and word-less texts have the empty set and are in no pair.
-Texts of fewer than n words are one n-gram of all their words. Rows without doc_id
-take no part. A repeated doc_id is one document whose similarity to another is the
-largest over its rows; it is never paired with itself. Columns other than doc_id and
-text are ignored, whatever their names. No rows give no pairs. Partners and
-candidates are not capped; hot lists cost their pairs.
+``classes`` has a row a document: the class (connected by similar pairs) it is in, and
+the number of documents it is similar to. It is counted from pairs of distinct sets and
+the sizes of the groups of equal ones, so copies aren't expanded into pairs.
+``jaccard_pairs`` does expand them.
+
+Defined results. Null and word-less texts have the empty set and are in no pair: they
+are classes of one without links. Texts of fewer than n words are one n-gram of all
+their words. Very long texts are taken whole. Rows without doc_id take no part. A
+repeated doc_id, or a repeated row, is one document whose similarity to another is the
+largest over its rows; it is never paired with itself, and joins the classes of all its
+texts. Ties need no rule: all pairs at or above the threshold count, and a class has
+its smallest doc_id as its id. Columns other than doc_id and text are ignored, whatever
+their names. No rows give no pairs and no classes. Partners and candidates are not
+capped; hot lists cost their pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,10 +71,14 @@ CELL_PAIRS = 100_000
 GROUP_PAIRS = 2_000
 #: Entries of a list up to which those that can't be similar to any other are dropped.
 SHORT = 64
+#: Sets of a list, by the counters, above which it is cut into pairs of parts.
+HOT = 1 << 15
 #: Pairs that a task counts in memory at once.
 HELD_PAIRS = 1 << 21
 
 _CHUNK = 1 << 14
+_SUBSET_AT = 0x7FFFFFFF  # the position of entries that are subsets
+_SIZE = (1 << 29) - 1  # below the flag of an entry: 0, or 2 and 3 for the sides of a list of two parts
 
 
 def _order_of(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -91,20 +108,33 @@ def _set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return textvec.mix(textvec.mix(sums[0]) + sums[1] * np.uint64(3) + size).view(np.int64)
 
 
+def _new_sets(sid: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether each set is new to the task; seen has 8 bytes for each text of a split at most."""
+    fresh = np.zeros(len(sid), bool)
+    values, at = np.unique(sid, return_index=True)
+    new = [i for v, i in zip(values.tolist(), at.tolist(), strict=True) if v not in seen]
+    fresh[new] = True
+    seen.update(sid[new].tolist())
+    return fresh
+
+
 def _scan(n: int, buckets: int):
-    """One row a document (chunk null), then the counters in chunks."""
+    """One row a document (chunk null), then the counters in chunks; a task counts equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.int32)
+        seen: set[int] = set()
         for batch in batches:
             for part in textvec.slices(batch, "text"):
                 h, doc = _sets(part.column("text"), n)
-                np.add(counts, np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), out=counts, casting="unsafe")
                 first = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 size = np.diff(first)
+                sid = _set_ids(h, first)
+                counted = h[_new_sets(sid, seen)[doc]]
+                np.add(counts, np.bincount((counted & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), out=counts, casting="unsafe")
                 nulls = pa.nulls(part.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(_set_ids(h, first)), pa.array(size.astype(np.int32)), nulls, pa.nulls(part.num_rows, pa.binary())],
+                    [part.column("doc_id"), pa.array(sid), pa.array(size.astype(np.int32)), nulls, pa.nulls(part.num_rows, pa.binary())],
                     names=["doc_id", "sid", "n", "chunk", "counts"],
                 )
         if counts.any():
@@ -161,13 +191,32 @@ def _probe_length(counts: np.ndarray, t: float) -> float:
     return max(0.0, float((low * low).sum() / low.sum() - np.median(c)))
 
 
-def _postings(n: int, t: float, light: int, order):
-    """Rows (key, sid, size << 32 | position); subsets have the last position."""
+@lru_cache(maxsize=256)
+def _subsets(m: int) -> np.ndarray:
+    """The SUBSET-element subsets of range(m), a row each."""
+    return np.array(list(combinations(range(m), SUBSET)))
+
+
+def _parted(key: np.ndarray, sid: np.ndarray, at: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of keys with several parts, once for each pair of parts that has the set's own."""
+    own = (textvec.mix(sid.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) % parts.astype(np.uint64)).astype(np.int64)
+    entry = np.repeat(np.arange(len(key)), parts)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = own[entry]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    flag = np.where(low == high, 0, np.where(own == low, 2, 3))
+    key = textvec.mix(textvec.mix(key[entry] + low.astype(np.uint64)) + high.astype(np.uint64))
+    return key, sid[entry], at[entry] | (flag << 61)
+
+
+def _postings(n: int, t: float, light: int, order, hot: int):
+    """Rows (key, sid, flag << 61 | size << 32 | position); subsets have the last position."""
     tiny = next(k for k in range(1, 1000) if math.ceil(t * k - 1e-9) >= SUBSET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = order.value
         mask = np.uint64(len(counts) - 1)
+        seen: set[int] = set()
         for batch in batches:
             for part in textvec.slices(batch, "text"):
                 h, doc = _sets(part.column("text"), n)
@@ -176,29 +225,40 @@ def _postings(n: int, t: float, light: int, order):
                 first = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 sid = _set_ids(h, first)
                 size = np.diff(first)
-                by = _order_of(doc, (counts[h & mask].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
-                h = h[by]
+                fresh = _new_sets(sid, seen)
+                count = counts[h & mask]
+                by = _order_of(doc, (count.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+                h, count = h[by], count[by]
                 pos = np.arange(len(h)) - first[doc]
                 mine = size[doc]
                 need = np.ceil(t * mine - 1e-9).astype(np.int64)
                 heavy = (mine > light) | (mine < tiny)
-                listed = (pos < mine - need + SUBSET) & (heavy | (mine >= t * (light + 1) - 1e-9) | (mine <= (tiny - 1) / t + 1e-9))
-                keys, sids, packed = [h[listed]], [sid[doc[listed]]], [(mine[listed] << 32) | pos[listed]]
-                for i in np.flatnonzero((size >= tiny) & (size <= light)):
-                    m = int(size[i])
-                    x = np.sort(h[first[i] : first[i] + prefix_size(m, t)])
-                    key = np.zeros(1, np.uint64)
-                    chosen = np.array(list(combinations(range(len(x)), SUBSET)))
+                listed = fresh[doc] & (pos < mine - need + SUBSET) & (heavy | (mine >= t * (light + 1) - 1e-9) | (mine <= (tiny - 1) / t + 1e-9))
+                keys, sids, packed, most = [h[listed]], [sid[doc[listed]]], [(mine[listed] << 32) | pos[listed]], [count[listed]]
+                small = np.flatnonzero(fresh & (size >= tiny) & (size <= light))
+                lengths = np.array([prefix_size(m, t) for m in range(light + 1)])[size[small]]
+                for m in np.unique(lengths).tolist():
+                    sets = small[lengths == m]
+                    spot = first[sets][:, None] + np.arange(m)
+                    line = np.argsort(h[spot], axis=1)
+                    x, c = (np.take_along_axis(v[spot], line, axis=1) for v in (h, count))
+                    chosen = _subsets(m)
+                    key, least = np.zeros((len(sets), len(chosen)), np.uint64), None
                     for k in range(SUBSET):
-                        key = textvec.mix(key * np.uint64(0x9FB21C651E98DF25) + x[chosen[:, k]])
-                    keys.append(key)
-                    sids.append(np.full(len(key), sid[i]))
-                    packed.append(np.full(len(key), (m << 32) | 0x7FFFFFFF))
+                        key = textvec.mix(key * np.uint64(0x9FB21C651E98DF25) + x[:, chosen[:, k]])
+                        least = c[:, chosen[:, k]] if least is None else np.minimum(least, c[:, chosen[:, k]])
+                    keys.append(key.ravel())
+                    sids.append(np.repeat(sid[sets], len(chosen)))
+                    packed.append(np.repeat((size[sets] << 32) | _SUBSET_AT, len(chosen)))
+                    most.append(least.ravel())
+                key, own, at, most = (np.concatenate(v) for v in (keys, sids, packed, most))
+                parts = -(-most.astype(np.int64) // hot)
+                many = parts > 1
+                if many.any():
+                    more = _parted(key[many], own[many], at[many], parts[many])
+                    key, own, at = (np.concatenate([v[~many], w]) for v, w in zip((key, own, at), more, strict=True))
                 # 48 bits of a key are enough to meet by, and the zeros in front take no room when moved
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.concatenate(keys) & ~np.uint64(0xFFFF)).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(packed))],
-                    names=["key", "sid", "at"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array((key & ~np.uint64(0xFFFF)).view(np.int64)), pa.array(own), pa.array(at)], names=["key", "sid", "at"])
 
     return run
 
@@ -255,7 +315,7 @@ def _shared_rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     sid, size, pos = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     length = np.diff(np.append(first, len(run)))
-    content = _set_ids(sid.view(np.uint64), np.append(first, len(run)))
+    content = _set_ids(sid.view(np.uint64) + (size >> 29).astype(np.uint64), np.append(first, len(run)))
     order = np.lexsort((length, content))
     c, n = content[order], length[order]
     fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
@@ -299,7 +359,7 @@ def _lists(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBat
         many = np.bincount(run)[run] > 1
         run, sid, at = run[many], sid[many], at[many]
         size, pos = (at >> 32).astype(np.int32), (at & 0x7FFFFFFF).astype(np.int32)
-        keep = _useful(run, size, pos, t)
+        keep = _useful(run, size & _SIZE, pos, t)
         run, sid, size, pos = run[keep], sid[keep], size[keep], pos[keep]
         if not len(run):
             continue
@@ -348,6 +408,8 @@ def _pairs(t: float):
             place = (np.arange(len(pos)) - np.repeat(np.cumsum(total) - total, total)) % np.repeat(count, total)
             spot = np.repeat(np.cumsum(count) - count, total) + place
             sid, n = sid[spot], n[spot]
+            side, n = n >> 29, n & _SIZE
+            parted = side.any()
             after = np.repeat(count, total) - place - 1  # entries that follow in the list
             live = np.flatnonzero(after >= 1)
             step = 1
@@ -356,6 +418,8 @@ def _pairs(t: float):
                     i = live[x : x + HELD_PAIRS]
                     j = i + step
                     ok, need_all = _met(n[i], n[j], pos[i], pos[j], t)
+                    if parted:  # sets of one side meet in another list
+                        ok &= (side[i] < 2) | (side[i] != side[j])
                     i, j = i[ok], j[ok]
                     need = np.where(pos[i] == 0x7FFFFFFF, 1, np.minimum(SUBSET, np.ceil(need_all[ok]))).astype(np.int8)
                     held.append((sid[i], sid[j], need, np.ones(len(i), np.int8)))
@@ -448,22 +512,33 @@ def _wanted(n: int, bits):
 
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        arrays = {k: _unpacked(v, n) for k, n, v in zip(*(sets.column(c).to_pylist() for c in ("sid", "size", "grams")), strict=True)}
-        a, b, j = [], [], []
-        for p, partners in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            for q in partners:
-                x, y = arrays[p], arrays[q]
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                union = len(x) + len(y) - both
-                if both >= t * union - 1e-9:
-                    a.append(p)
-                    b.append(q)
-                    j.append(both / union)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        order = np.argsort(np.asarray(sets.column("sid")), kind="stable")
+        sid, size = (np.asarray(sets.column(c))[order] for c in ("sid", "size"))
+        blobs = sets.column("grams").to_pylist()
+        grams = [_unpacked(blobs[i], n) for i, n in zip(order.tolist(), size.tolist(), strict=True)]
+        flat = np.unique(np.concatenate(grams), return_inverse=True)[1] if grams else np.zeros(0, np.int64)
+        first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        # (set, n-gram) as one sorted number
+        owned = (np.repeat(np.arange(len(sid)), size) << 32) | flat
+        partners = pairs.column("b").combine_chunks()
+        b = np.searchsorted(sid, np.asarray(partners.flatten()))
+        a = np.searchsorted(sid, np.repeat(np.asarray(pairs.column("a")), np.asarray(pa.compute.list_value_length(partners))))
+        swap = size[a] > size[b]
+        x, y = np.where(swap, b, a), np.where(swap, a, b)
+        both = np.zeros(len(a), np.int64)
+        total = np.concatenate([[0], np.cumsum(size[x], dtype=np.int64)])
+        at = 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
+            n = size[x[at:to]].astype(np.int64)
+            pair = np.repeat(np.arange(at, to), n)
+            asked = (y[pair] << 32) | flat[first[x[pair]] + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+            spot = np.minimum(np.searchsorted(owned, asked), len(owned) - 1)
+            both[at:to] = np.bincount(pair - at, weights=owned[spot] == asked, minlength=to - at)
+            at = to
+        union = size[a].astype(np.int64) + size[b] - both
+        ok = both >= t * union - 1e-9
+        return pa.table({"a": sid[a[ok]], "b": sid[b[ok]], "jaccard": both[ok] / union[ok]})
 
     return run
 
@@ -489,7 +564,7 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     light = boundary(sizes, threshold, _probe_length(counts, threshold))
     order = sc.broadcast(counts)
 
-    rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order), "key long, sid long, at long")
+    rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order, HOT), "key long, sid long, at long")
     lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _lists(batches, threshold), "lead long, sids array<long>, sizes array<int>, places array<int>")
     lists = scratch.save(lists, "ngram-lists")
     met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, code array<tinyint>")
@@ -573,6 +648,38 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return members.join(label, "sid").groupBy("doc_id").agg(F.min("label").alias("group_id"))
 
 
+def _links(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, links): how many other documents each document with words is similar to."""
+    weight = members.groupBy("sid").agg(F.count("*").alias("m"))
+    about = lambda end: weight.withColumnRenamed("sid", end)
+    near = pairs.join(about("b"), "b").select(F.col("a").alias("sid"), "m").unionAll(pairs.join(about("a"), "a").select(F.col("b").alias("sid"), "m")).unionAll(weight)
+    total = near.groupBy("sid").agg(F.sum("m").alias("total"))
+    texts = members.groupBy("doc_id").agg(F.count("*").alias("k"))
+    links = members.join(total, "sid").select("doc_id", (F.col("total") - 1).alias("links"))
+    if not texts.filter("k > 1").limit(1).count():
+        return links
+    # documents of several texts count once where more than one of their sets is near
+    several = scratch.save(texts.filter("k > 1").select("doc_id").join(members, "doc_id"), "ngram-several")
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(weight.select(F.col("sid").alias("a"), F.col("sid").alias("b")))
+    again = several.join(both, F.col("sid") == F.col("b")).groupBy("a", "doc_id").agg((F.count("*") - 1).alias("over")).groupBy(F.col("a").alias("sid")).agg(F.sum("over").alias("over"))
+    one = members.join(several.select("doc_id").distinct(), "doc_id", "left_anti").join(total, "sid").join(again, "sid", "left")
+    one = one.select("doc_id", (F.col("total") - 1 - F.coalesce("over", F.lit(0))).alias("links"))
+    reached = several.join(both, F.col("sid") == F.col("a")).select(F.col("doc_id").alias("x"), "b").distinct().join(members, F.col("b") == F.col("sid")).select("x", "doc_id").distinct()
+    return one.unionAll(reached.groupBy(F.col("x").alias("doc_id")).agg((F.count("*") - 1).alias("links")))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+    """(doc_id, class_id, links), one row a doc_id: class_id is the smallest doc_id of the
+    documents connected by similar pairs, links the number of documents similar to this one."""
+    members, pairs = similar_sets(docs, threshold, n)
+    members, pairs = scratch.save(members, "ngram-members"), scratch.save(pairs, "ngram-pairs")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    found = groups(members, pairs).select("doc_id", F.col("group_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    rows = found.unionAll(_links(members, pairs).select("doc_id", F.lit(None).cast("long"), "links")).unionAll(ids.select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
+    rows = rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of docs without those of a doc_id that isn't the smallest of its group.
     Rows without doc_id, or whose texts have no words, stay; so do all rows of a doc_id."""

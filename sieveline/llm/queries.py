@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_pairs(table(spark, sf_dir, "documents"))
+    """Each document's class of near duplicates and its number of links."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op2_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor
 SELECT vec_id, rank, neighbor_id, round(d, 6) AS distance FROM ranked WHERE rank <= {topk.K}"""
 
 SQL: dict[str, str] = {
-    "op1_ngram_jaccard_join": f"WITH {PAIRS_SQL} SELECT doc_a, doc_b, jaccard FROM pairs",
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE {PAIRS_SQL.lstrip()},
+links AS (SELECT doc_a AS x, doc_b AS y FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
+counted AS (SELECT x, count(*) AS links FROM links GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(l.y, doc_id)) AS class_id, coalesce(c.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN least l ON l.x = doc_id LEFT JOIN counted c ON c.x = doc_id""",
     "op6_sharding": "SELECT * FROM documents",
     "op9_license_scan": licenses.sql(),
     "op10_exact_topk": NEAREST_SQL,

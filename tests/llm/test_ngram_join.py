@@ -67,6 +67,54 @@ def test_odd_rows(spark):
     assert run(spark, rows) == pytest.approx(brute(rows, 0.6))
 
 
+def classes(rows, t):
+    """(class, links) of each doc_id, by brute force."""
+    ids = {d for d, _ in rows if d is not None}
+    near = {d: set() for d in ids}
+    for a, b in brute(rows, t):
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for d in sorted(ids):
+        if d not in out:
+            seen, todo = {d}, [d]
+            while todo:
+                todo += [x for x in near[todo.pop()] if x not in seen and not seen.add(x)]
+            out |= {x: (d, len(near[x])) for x in seen}
+    return out
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_classes(spark, seed):
+    rows = make(seed)
+    rows += [(100 + i, rows[i][1]) for i in range(30)] + [(200, rows[3][1]), (200, rows[4][1]), (200, rows[3][1] + " more"), (201, None), (202, ""), (None, rows[3][1]), (203, "x " * 50_000), (3, rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class_id", "2 as links", "'a' as sid")
+    got = ngram_join.classes(df).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == classes(rows, 0.6) and len(got) == len({r.doc_id for r in got})
+    assert ngram_join.classes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_keys_are_cut(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rows = make(11, 70) + [(500 + i, f"a b c d e f g h x{i}") for i in range(30)]
+    for light in (0, 40):
+        monkeypatch.setattr(ngram_join, "boundary", lambda *a, light=light: light)
+        assert run(spark, rows) == pytest.approx(brute(rows, 0.6))
+
+
+def test_classes_agree_with_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from sieveline.llm import queries
+
+    rows = make(12, 80) + [(300, None), (301, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(queries.SQL["op1_ngram_jaccard_join"]).fetchall())
+    assert sorted(map(tuple, queries.QUERIES["op1_ngram_jaccard_join"](spark, str(tmp_path)).collect())) == want
+
+
 def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, sid string, key string")
     assert ngram_join.jaccard_pairs(empty).count() == 0
