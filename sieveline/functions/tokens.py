@@ -55,5 +55,10 @@ def token_spans(text: str | bytes) -> list[tuple[bytes, int, int]]:
     return [(m[0], m.start(), m.end()) for m in _IN_BYTES.finditer(raw)]
 
 
+def raw_tokens(text: str) -> list[bytes]:
+    """All tokens of a text, as bytes."""
+    return _IN_BYTES.findall(text.encode())
+
+
 def local_tokens(text: str) -> list[str]:
     return [t.decode() for t, _, _ in token_spans(text)]

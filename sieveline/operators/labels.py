@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOG = "seq long, op string, label string, doc_id long"
+#: What a batch of the log holds; seq is the number of its commit.
+STORED = "op string, label string, doc_id long"
 ADD, REMOVE = "add", "remove"
 
 

@@ -7,12 +7,16 @@ each other.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_tokens
+from ..functions.tokens import MAX_TOKEN_BYTES, index_tokens, raw_tokens
 
 TOKEN = "array<struct<field:string,word:string>>"
 POSTINGS = "field string, word string, doc_id long, positions array<int>"
@@ -62,6 +66,68 @@ def build(documents: DataFrame) -> DataFrame:
     return found.select("p.field", "p.word", "doc_id", "p.positions")
 
 
+#: Bytes of texts that are tokenised at once; one longer text is taken alone.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = [np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in batch.columns[1:]]
+    total = np.cumsum(np.sum(sizes, axis=0)) if sizes else np.zeros(batch.num_rows)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        to = max(at + 1, min(to, batch.num_rows))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _grouped(fields: list[str]):
+    """Postings of batches (doc_id, a text for each field), those of a text next to each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                n = part.num_rows
+                words, docs, kinds, places, before = [], [], [], [], np.zeros(n, np.int64)
+                for f, column in enumerate(part.columns[1:]):
+                    found = [raw_tokens(t) if t else [] for t in column.to_pylist()]
+                    doc = np.repeat(np.arange(n), list(map(len, found)))
+                    word = pa.array([t for x in found for t in x], pa.binary())
+                    short = np.asarray(pc.binary_length(word)) <= MAX_TOKEN_BYTES
+                    if not short.all():
+                        doc, word = doc[short], word.filter(pa.array(short))
+                    count = np.bincount(doc, minlength=n)
+                    places.append(np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + before[doc])
+                    before += count
+                    words.append(word)
+                    docs.append(doc)
+                    kinds.append(np.full(len(doc), f))
+                if not before.any():
+                    continue
+                doc, kind, place = map(np.concatenate, (docs, kinds, places))
+                coded = pa.concat_arrays(words).dictionary_encode()
+                key = (doc * len(fields) + kind) * len(coded.dictionary) + np.asarray(coded.indices)
+                order = np.argsort(key, kind="stable")  # positions stay in order
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                lead = order[first]
+                positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fields, pa.string()).take(pa.array(kind[lead])), coded.dictionary.cast(pa.string()).take(coded.indices.take(pa.array(lead))), part.column(0).take(pa.array(doc[lead])), positions],
+                    names=["field", "word", "doc_id", "positions"],
+                )
+
+    return run
+
+
+def of_texts(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Postings from a row a document; ``fields`` maps fields to text columns. Texts are
+    tokenised and their words grouped in Arrow batches, which is several times as fast as
+    sorting arrays of tokens in expressions; nothing is moved."""
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(f"t{i}") for i, c in enumerate(fields.values())])
+    return texts.mapInArrow(_grouped(list(fields)), POSTINGS)
+
+
 def clustered(postings: DataFrame, files: int | None = None) -> DataFrame:
     """Postings ordered for lookups: a file holds a range of words, and a word that fills more than a file is cut by doc_id."""
     by = [F.col("field"), F.col("word"), F.col("doc_id")]

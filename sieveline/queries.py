@@ -110,8 +110,7 @@ def page(text: str, n: int, skip: int) -> Callable[[SparkSession, str], DataFram
         cursor = index_of(spark, sf_dir).cursor(text)
         if skip:
             cursor.next(skip)
-        found = cursor.index._find(cursor.query, cursor.batches, cursor.last)
-        return found.orderBy(F.desc("doc_id")).limit(n)
+        return spark.createDataFrame([(i,) for i in cursor.next(n)], "doc_id long")
 
     return run
 
@@ -133,7 +132,7 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_ops.label_counts(index_of(spark, sf_dir).labels())
+    return index_of(spark, sf_dir).label_stats()
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,13 +37,13 @@ def index_text_files(index: Index, paths: str | list[str]) -> int:
 
 
 def index_mbox(index: Index, paths: str | list[str]) -> int:
-    """Adds the mails and labels them ``inbox``."""
-    before = {c["batch"] for c in index._commits()}
-    n = index.add_documents(mbox(index.spark, paths), {"body": "body"}, ["path", "body"])
-    if n:
-        added = index._table("docs", "doc_id long", [c for c in index._commits() if c["batch"] not in before])
-        index.add_labels(added.select(F.lit(INBOX).alias("label"), "doc_id"))
-    return n
+    """Adds the mails, with the place of each as ``path`` and ``offset``, and labels them ``inbox``."""
+    done = index._add_rows(mbox(index.spark, paths), {"body": "body"}, ["path", "offset", "body"], None, None)
+    if not done or not done["docs"]:
+        return 0
+    added = index._table("docs", "doc_id long", [done])
+    index.add_labels(added.select(F.lit(INBOX).alias("label"), "doc_id"))
+    return done["docs"]
 
 
 def random_queries(documents: DataFrame, column: str = "body", share: float = 0.0001, words: int = 5, seed: int = 0) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators import labels as label_ops
 from ..operators.index import Index
 
 
@@ -22,14 +21,11 @@ def stream_documents(index: Index, rows: DataFrame, fields: dict[str, str], chec
     return _start(rows, add, checkpoint, trigger)
 
 
-def stream_labels(index: Index, operations: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Applies a streaming DataFrame (op, label, doc_id[, seq]); within a micro-batch the largest seq of a label and document counts."""
+def stream_labels(index: Index, operations: DataFrame, checkpoint: str, name: str = "labels", **trigger) -> StreamingQuery:
+    """Applies a streaming DataFrame (op, label, doc_id[, seq]); see ``Index.apply_labels`` for what counts within a micro-batch."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
-        last = batch.groupBy("label", "doc_id").agg(F.max_by("op", "seq").alias("op")) if "seq" in batch.columns else batch.select("label", "doc_id", "op").distinct()
-        index._log(last.filter(F.col("op").isin(label_ops.ADD, label_ops.REMOVE)))
+        index.apply_labels(batch, source=f"{name}/{number}")
 
     return _start(operations, apply, checkpoint, trigger)
 
