@@ -5,7 +5,7 @@
     search INDEX QUERY           count, newest ids and excerpts
     count INDEX                  counts and times the queries of standard input
     interactive INDEX            searches the queries of standard input
-    benchmark INDEX FILE         queries a second, ten results each
+    benchmark INDEX FILE         time of each query, and queries a second; ten results each
     make-queries INDEX           random queries from the stored bodies
     dump INDEX                   all postings
     info INDEX                   totals
@@ -73,8 +73,10 @@ def main(args: list[str], spark: SparkSession | None = None, out=sys.stdout, lin
         began, n = time.time(), 0
         with open(rest[0], encoding="utf-8") as f:
             for line in f:
-                index.cursor(line).next(10)
+                since = time.time()
+                found = len(index.cursor(line).next(10))
                 n += 1
+                print(f"{(time.time() - since) * 1000:.1f}ms {found} {line.strip()}", file=out)
         print(f"{n} queries, {n / max(1e-9, time.time() - began):.2f} a second", file=out)
     elif command in ("count", "interactive"):
         for line in lines:

@@ -34,15 +34,15 @@ def match_length(query: Query, field: str, words: list[bytes], at: int) -> int:
     return 0
 
 
-def snippet_spans(query: Query, field: str, text: str | None, limit: int = MAX_SNIPPETS) -> list[tuple[int, int]]:
-    """(start, end) in bytes, end exclusive, of the first ``limit`` matches; a null text has none."""
+def snippet_spans(query: Query, field: str, text: str | bytes | None, limit: int | None = MAX_SNIPPETS) -> list[tuple[int, int]]:
+    """(start, end) in bytes, end exclusive, of the first ``limit`` matches (of all, if None); a null text has none."""
     if text is None:
         return []
     found = token_spans(text)
     words = [w for w, _, _ in found]
     spans: list[tuple[int, int]] = []
     at = 0
-    while at < len(words) and len(spans) < limit:
+    while at < len(words) and (limit is None or len(spans) < limit):
         n = match_length(query, field, words, at)
         if n:
             spans.append((found[at][1], found[at + n - 1][2]))
@@ -50,7 +50,13 @@ def snippet_spans(query: Query, field: str, text: str | None, limit: int = MAX_S
     return spans
 
 
-def snippets(query: Query, field: str, text: Column | str, limit: int = MAX_SNIPPETS) -> Column:
+def snippet_file(query: Query, field: str, path: str, limit: int | None = MAX_SNIPPETS) -> list[tuple[int, int]]:
+    """The spans of a file of this machine."""
+    with open(path, "rb") as f:
+        return snippet_spans(query, field, f.read(), limit)
+
+
+def snippets(query: Query, field: str, text: Column | str, limit: int | None = MAX_SNIPPETS) -> Column:
     """The spans as a column. The greedy scan is sequential, so it runs in Arrow batches in Python."""
 
     @F.pandas_udf(SPANS)

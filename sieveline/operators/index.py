@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from .. import storage
 from ..functions.tokens import MAX_TOKEN_BYTES, local_tokens
-from ..plans.ast import Label, Query, Term
+from ..plans.ast import Label, Not, Query, Term
 from ..plans.parser import parse
 from ..plans.planner import plan
 from . import labels as label_ops
@@ -462,6 +462,23 @@ class Index:
         """DataFrame[doc_id] of all matches, in no order."""
         return self._find(self._query(query, default_field), self._commits())
 
+    def matches(self, query: Query | str, default_field: str = "body") -> DataFrame:
+        """(doc_id, field, word, positions) of the query's words in the documents that match; words that only stand under a negation aren't listed."""
+        query = self._query(query, default_field)
+
+        def said(node: Query) -> set[tuple[str, str]]:
+            if isinstance(node, Term):
+                return {(node.field, node.word)}
+            return set() if isinstance(node, Not) else set().union(*map(said, node.children))
+
+        commits = self._commits()
+        words = said(query)
+        postings = self._table("postings", post.POSTINGS, commits)
+        wanted = F.lit(False)
+        for field, word in sorted(words):
+            wanted = wanted | ((F.col("field") == field) & (F.col("word") == word))
+        return postings.filter(wanted).join(self._find(query, commits), "doc_id", "left_semi").select("doc_id", "field", "word", "positions")
+
     def search(self, query: Query | str, limit: int | None = None, default_field: str = "body") -> list[int]:
         """Matching ids, newest first."""
         if limit is not None:
