@@ -66,6 +66,41 @@ def test_visible():
     assert he.visible("a <br/> b") == "a\nb"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p>before</p><svg class="i"/><p>all the text</p>', "before\nall the text"),
+        ("<svg><p>kept", "kept"), ("a<noscript>b<p>c", "a\nb\nc"), ("<svg>x</svg>y<TITLE>t</Title >z", "y z"),
+        ("<a title=it's>x</a> y", "x y"), ("<a title='a>b' k=\"<\">x</a>", "x"), ("1 < 2 <3 > 2 <b", "1 < 2 <3 > 2 <b"), ("<a x=1 <b>y</b>", "<a x=1 y"),
+        ("a<!-- no", "a"), ("a<!doctype", "a"), ("<script>x", ""), ("<a href=\"x>y</a>", "y"), ("<p", "<p"), ("</p >x</", "x</"),
+    ],
+)
+def test_odd_markup(page, text):
+    assert he.visible(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a x=1 ", '<a x="', "<a x='", "<svg>", "<!--", "<", "<title><svg x=\"'", "</script", "<a x=\"<b y='", "& ", "= ' "])
+def test_scanning_is_linear(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    he.visible(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_ranks():
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = [rnd.randint(0, 2) for _ in range(300)]
+    for depth in (1, 2, 3, 5, 8, 11):
+        keys = [words[i : i + depth] for i in range(300)]
+        order = {tuple(k): r for r, k in enumerate(sorted(set(map(tuple, keys))))}
+        assert he.ranks(np.array(words), depth).tolist() == [order[tuple(k)] for k in keys]
+    assert len(he.ranks(np.zeros(0, np.int64), 4)) == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert he.extract(df).count() == 0
