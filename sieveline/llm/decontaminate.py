@@ -12,16 +12,19 @@ batch at once, and only the stretches of consecutive hits are streamed: outside
 no run is long enough. On the way, windows of 1, 2, ... words are looked up where the
 two windows within them were found, which gives the longest match of all other texts.
 
-An automaton holds at most ``TOKENS`` words of items and is broadcast; a larger
-benchmark makes several automata that mark the texts one after the other before
-anything is cut, so what is broadcast at once doesn't grow.
+An automaton holds at most ``TOKENS`` words of items. A larger benchmark makes several:
+each is built, broadcast and dropped in turn, and marks the texts in a pass of its own,
+whose marks are kept in the shared folder; the last pass cuts. So memory and what is
+broadcast at once don't grow with the benchmark, and the result is that of one automaton.
 
 Defined results. All rows and columns come back; ``text`` has lost the cut runs with
 the punctuation after them, ``n_chars``, if there is one, follows it, and
 ``removed_words`` and ``longest_match`` are added (columns of these names are
 replaced). Null texts stay null; texts without a cut stay byte for byte; a text
 that is cut whole becomes empty. Items that are null or have fewer than ``LEAST``
-words are ignored; repeated items count once. Repeated rows are treated alike.
+words are ignored; repeated items count once. Repeated rows are treated alike. Very long
+texts are streamed whole. Without items nothing is cut; an empty table gives no rows.
+``kept`` gives the rows with their own columns only, without those that are cut whole.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textvec
+from . import scratch, textvec
 
 LENGTH = 10
 COVERAGE = 0.6
@@ -275,10 +278,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, c
     inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select(*[f"c{i}" for i in kept])
     inner = inner.withColumn(inner.columns[text_at], F.col(inner.columns[text_at]).cast("string"))
     now = inner.select("*", F.lit(None).cast("array<int>").alias("removed_words"), F.lit(0).alias("longest_match"))
-    finders = list(map(sc.broadcast, _finders(benchmark, length, coverage, least, tokens)))
     base = list(inner.schema.fields)
-    for i, finder in enumerate(finders):
-        last = i + 1 == len(finders)
-        mark = T.IntegerType() if last else T.ArrayType(T.IntegerType())
-        now = now.mapInArrow(_pass(finder, text_at, chars_at, last), T.StructType([*base, T.StructField("removed_words", mark), T.StructField("longest_match", T.IntegerType())]))
-    return now.toDF(*names, "removed_words", "longest_match")
+    finders = _finders(benchmark, length, coverage, least, tokens)
+    finder = next(finders)
+    while True:
+        after = next(finders, None)
+        shared = sc.broadcast(finder)
+        mark = T.IntegerType() if after is None else T.ArrayType(T.IntegerType())
+        now = now.mapInArrow(_pass(shared, text_at, chars_at, after is None), T.StructType([*base, T.StructField("removed_words", mark), T.StructField("longest_match", T.IntegerType())]))
+        if after is None:
+            return now.toDF(*names, "removed_words", "longest_match")
+        now = scratch.save(now, "decontaminate-marks")
+        shared.destroy()
+        finder = after
+
+
+def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, cut, with the columns of docs; a text of which nothing but blanks is left goes."""
+    places = [c if c in ("text", "n_chars") else f"c{i}" for i, c in enumerate(docs.columns)]
+    clean = decontaminate(docs.toDF(*places), benchmark)
+    return clean.filter("removed_words = 0 or trim(text) <> ''").select(*places).toDF(*docs.columns)

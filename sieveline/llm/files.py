@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyarrow import fs
 
@@ -30,3 +32,10 @@ def remove(uri: str) -> None:
     system, path = open_fs(uri)
     if system.get_file_info(path).type != fs.FileType.NotFound:
         system.delete_file(path)
+
+
+def ages(uri: str) -> list[tuple[str, float]]:
+    """(name, seconds since it was written) of the files of a folder; none if there is no such folder."""
+    system, path = open_fs(uri)
+    now = time.time()
+    return [(f.base_name, now - f.mtime.timestamp()) for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.type == fs.FileType.File]

@@ -21,8 +21,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' token ids, read back from the shards."""
-    return sstable.write(table(spark, sf_dir, "documents")).scan()
+    """All documents' token ids, each looked up in the shards by its identifier."""
+    docs = table(spark, sf_dir, "documents")
+    return sstable.write(docs).lookup(docs)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +41,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, read back from the compacted dataset."""
+    """All documents, which arrive in ARRIVALS parts, read back from the compacted dataset."""
     dataset = sharding.create(spark)
-    dataset.append(table(spark, sf_dir, "documents"))
+    for part in sharding.arrivals(table(spark, sf_dir, "documents"), "doc_id", ARRIVALS):
+        dataset.append(part)
     dataset.compact(keep=1)
     return dataset.read()
 
@@ -64,6 +66,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), asked=F.col("vec_id") % ASKED == 0)
 
 
+#: Parts in which op6's documents arrive, together all of them.
+ARRIVALS = 4
 #: The queries of op10 are the rows whose id it divides.
 ASKED = 20
 

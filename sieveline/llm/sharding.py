@@ -17,7 +17,7 @@ Tasks write shards under new names and report them through Spark's committed out
 so repeated and lost attempts never get into a manifest. A merge moves no rows between
 tasks: each merge is one task that streams row groups from its inputs to its output.
 
-Defined results. A read returns every appended row as often as it was appended, with
+Defined results. Very long texts are stored whole. A read returns every appended row as often as it was appended, with
 all columns; clashing column names are kept, as columns are stored by place. Appends
 need the columns and types of the dataset. Null values, empty texts and empty tables
 are stored like others (an empty append commits a version without new shards).
@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files, scratch
@@ -223,26 +224,34 @@ class Dataset:
         added = [{"path": r.path, "rows": r.rows, "bytes": r.bytes} for r in done.collect()]  # file names and sizes
         return self.commit(added, set(), schema=schema, names=rows.columns)
 
-    def compact(self, target: int = TARGET_BYTES, runs: int = RUNS, ratio: float = RATIO, tier_bytes: int = TIER_BYTES, keep: int | None = 2) -> int:
-        """Merges until no tier has enough shards; keeps the files of the last ``keep`` versions on the way (all, if None)."""
+    def compact(self, target: int = TARGET_BYTES, runs: int = RUNS, ratio: float = RATIO, tier_bytes: int = TIER_BYTES, keep: int | None = None) -> int:
+        """Merges until no tier has enough shards; the last version. All older versions stay readable, or with
+        ``keep`` only the last so many: for use when nothing else reads or writes."""
         version, manifest = self.current()
         while due := plan(manifest["shards"], target, runs, ratio, tier_bytes):
             jobs = self.spark.createDataFrame([(i, g) for i, g in enumerate(due)], "job int, paths array<string>").repartitionById(len(due), "job")
             done = scratch.save(jobs.select("paths").mapInArrow(_merge(f"{self.folder}/shards"), SHARDS), "sharding-merge").collect()
             added = [{"path": r.path, "rows": r.rows, "bytes": r.bytes} for r in done]
-            version = self.commit(added, {p for r in done for p in json.loads(r.replaces)})
+            try:
+                version = self.commit(added, {p for r in done for p in json.loads(r.replaces)})
+            except Conflict:
+                for s in added:  # another compaction was there first
+                    files.remove(s["path"])
             if keep is not None:
-                self.vacuum(keep)
+                self.vacuum(keep, 0)
             _, manifest = self.current()
         return version
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Removes all but the last keep versions, and the shards that only they list. For
-        use when no older version is being read."""
+    def vacuum(self, keep: int = 1, grace: float = 86_400) -> list[str]:
+        """Removes all but the last keep versions, the shards that only they list, and shards
+        that none lists and that are older than ``grace`` seconds (younger ones may be about
+        to be committed). For use when no older version is being read."""
         found = self.versions()
         old, live = found[:-keep], found[-keep:]
         listed = {s["path"] for v in live for s in self.read_manifest(v)["shards"]}
         gone = {s["path"] for v in old for s in self.read_manifest(v)["shards"]} - listed
+        known = {p.rpartition("/")[2] for p in listed}
+        gone |= {f"{self.folder}/shards/{name}" for name, age in files.ages(f"{self.folder}/shards") if name not in known and age >= grace}
         for path in sorted(gone):
             files.remove(path)
         for v in old:
@@ -266,3 +275,14 @@ class Dataset:
 def create(spark: SparkSession) -> Dataset:
     """A new dataset in the shared folder."""
     return Dataset(spark, scratch.new_path(spark, "dataset"))
+
+
+def arrivals(rows: DataFrame, by: str, parts: int) -> list[DataFrame]:
+    """rows in so many parts by ranges of a number, as if they had arrived one after the other; rows without it come first."""
+    cuts = sorted(set(rows.select(F.col(by).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)))
+    key = F.col(by).cast("double")
+    out = []
+    for i in range(len(cuts) + 1):
+        part = key <= cuts[i] if i < len(cuts) else F.lit(True)
+        out.append(rows.filter((key.isNull() | part) if i == 0 else part & (key > cuts[i - 1])))
+    return out

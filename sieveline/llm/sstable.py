@@ -23,13 +23,17 @@ committed, so lost and repeated attempts leave no trace in it.
 Defined results. Rows without doc_id have no key and aren't stored. Rows of one
 doc_id, and equal rows, are stored each, in order of their text, and a lookup returns
 all. A null text is stored as null, an empty one as no ids. Special tokens' names in
-texts are ordinary text. Other columns are ignored. An empty table makes no shards.
+texts are ordinary text. Very long texts are stored whole; a run of more than ``BLANKS``
+blank characters is tokenised in parts of that length, as the pattern can't match longer
+ones, and reads back as it was. Other columns are ignored, whatever their names. An
+empty table makes no shards.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import re
 import struct
 import uuid
 import zlib
@@ -52,6 +56,8 @@ LEAST_BYTES = 16 << 20
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
+#: Blank characters in a row that are tokenised at once.
+BLANKS = 1 << 16
 
 _MAGIC = b"SLVSST01"
 _FOOTER = struct.Struct("<8sQQQQQQQI4x")  # magic; index, filter: offset, length; blocks; entries; tokens; bytes an id
@@ -150,6 +156,7 @@ class Shard:
         self.first = self.index["key"].astype(np.uint64)
         self.bloom = np.frombuffer(file.read_at(bloom_length, bloom_at), np.uint8)
         self.unzip = zstandard.ZstdDecompressor()
+        self.held: tuple[int, list[tuple[bytes, bytes]]] = (-1, [])  # the block that was read last
 
     def may_have(self, doc_id: int) -> bool:
         bits = _probes(np.array([doc_id + (1 << 63)], np.uint64), len(self.bloom) * 8)[0]
@@ -190,7 +197,9 @@ class Shard:
         # rows of one document may begin in the block before the first that starts with its key
         i = max(0, int(np.searchsorted(self.first, np.uint64(doc_id + (1 << 63)), side="left")) - 1)
         while i < len(self.index) and self.first[i] <= np.uint64(doc_id + (1 << 63)):
-            found += [self.ids(v) for k, v in self.block(i) if k == key]
+            if self.held[0] != i:
+                self.held = i, list(self.block(i))
+            found += [self.ids(v) for k, v in self.held[1] if k == key]
             i += 1
         return found
 
@@ -207,6 +216,23 @@ def tokenizer(ranks: bytes, pattern: str):
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=table, special_tokens={}), max(table.values(), default=0) + 1
 
 
+_RUN = re.compile(r"\s+")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The token ids of a text."""
+    if len(text) <= BLANKS:
+        return encoding.encode_ordinary(text)
+    ids: list[int] = []
+    at = 0
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() > BLANKS:
+            for to in range(m.start() + BLANKS, m.end(), BLANKS):
+                ids += encoding.encode_ordinary(text[at:to])
+                at = to
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def _write(folder: str, ranks, pattern: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -220,7 +246,7 @@ def _write(folder: str, ranks, pattern: str, block_bytes: int):
                 if writer is None:
                     path = f"{folder}/{uuid.uuid4().hex}.sst"
                     writer, first = Writer(files.create(path), np.dtype(kind).itemsize, block_bytes), doc_id
-                ids = None if text is None else encoding.encode_ordinary(text)
+                ids = None if text is None else encode(encoding, text)
                 value = b"" if ids is None else squeeze.compress(np.array(ids, kind).tobytes())
                 writer.add(key_of(doc_id), value, len(ids or ()))
                 last = doc_id
@@ -258,14 +284,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(held, values)
 
 
-def _find(table: pa.Table) -> pa.Table:
-    shard = Shard(files.read_at(table.column("path")[0].as_py()))
-    wanted, values = [], []
-    for doc_id in sorted(set(table.column("doc_id").to_pylist())):
-        for ids in shard.get(doc_id):
-            wanted.append(doc_id)
-            values.append(ids)
-    return pa.Table.from_batches([_rows(wanted, values)])
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (path, doc_id), sorted: the rows of the documents."""
+    shard, at = None, None
+    for batch in batches:
+        held, values, size = [], [], 0
+        for path, doc_id in zip(batch.column("path").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+            if path != at:
+                shard, at = Shard(files.read_at(path)), path
+            for ids in shard.get(doc_id):
+                held.append(doc_id)
+                values.append(ids)
+                size += 64 + (0 if ids is None else len(ids))
+            if size > 1 << 20:
+                yield _rows(held, values)
+                held, values, size = [], [], 0
+        if held:
+            yield _rows(held, values)
 
 
 ROWS = "doc_id long, n_tokens int, tokens array<int>"
@@ -300,7 +335,8 @@ class Store:
                 on = (at >= 0) & (want <= last[at])
                 yield pa.RecordBatch.from_arrays([pa.array(want[on]), pa.array([paths[i] for i in at[on]], pa.string())], names=["doc_id", "path"])
 
-        return wanted.mapInArrow(place, "doc_id long, path string").groupBy("path").applyInArrow(_find, ROWS)
+        placed = wanted.mapInArrow(place, "doc_id long, path string").repartition(min(len(spots), 4096), "path")
+        return placed.sortWithinPartitions("path", "doc_id").select("path", "doc_id").mapInArrow(_find, ROWS)
 
 
 def write(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, least_bytes: int = LEAST_BYTES) -> Store:

@@ -99,3 +99,42 @@ def test_toxic_without_quality_is_bad(spark):
     docs = spark.createDataFrame([(i, f"calm{i} calm") for i in range(8)], "doc_id long, text string")
     labels = spark.createDataFrame([(0, None, 1), (1, 1, 0), (2, 1, None), (3, None, 0), (4, None, None), (5, 0, None)], "doc_id long, quality int, toxic int")
     assert quality.fit(docs, labels)[1] == 0.5
+
+
+def test_against_brute_force(spark):
+    """The whole of classify, with the ranking fitted pair by pair and word by word."""
+    import pyarrow as pa
+
+    rows, marks = make(7, 70)
+    rows += [(90, None), (91, "..."), (92, rows[1][1])]
+    got = {r.doc_id: r for r in quality.classify(*frames(spark, rows, marks)).collect()}
+    bad = {i for i, q, t in marks if t or not q}
+    known = [i for i, *_ in marks]
+    stats, owner, mark = quality.features(pa.array([t for _, t in rows], pa.string()))
+    words = [set(mark[owner == i].tolist()) for i in range(len(rows))]
+    share = len(bad) / len(known)
+
+    def differs(m):
+        has = [i for i in known if m in words[i]]
+        return len(has) >= quality.MIN_DOCS and abs(sum(i in bad for i in has) - share * len(has)) / np.sqrt(share * (1 - share) * len(has)) >= quality.Z
+
+    chosen = sorted(m for m in set().union(*(words[i] for i in known)) if differs(m))
+    sample = stats[known]
+    z = np.clip((stats - sample.mean(axis=0)) / (sample.std(axis=0) + 1e-6), -6, 6)
+    x = np.array([[float(m in words[i]) for m in chosen] + [*z[i], *np.abs(z[i]), *np.maximum(0, z[i] - 2)] for i in range(len(rows))])
+    pairs = [(i, j) for i in known if i not in bad for j in bad]
+    theta, first, second = (np.zeros(x.shape[1]) for _ in range(3))
+    steps = np.array([x[i] - x[j] for i, j in pairs])
+    for step in range(1, quality.ROUNDS + 1):
+        push = -1 / (1 + np.exp(steps @ theta))
+        grad = (push[:, None] * steps).mean(axis=0) + quality.L2 * theta
+        first = 0.9 * first + 0.1 * grad
+        second = 0.99 * second + 0.01 * grad**2
+        theta = theta - 0.05 * (1 - step / (quality.ROUNDS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    want = x @ theta
+    here = [i for i, (d, t) in enumerate(rows) if words[i]]
+    assert chosen and all(abs(got[rows[i][0]].score - want[i]) < 1e-3 for i in here)
+    ranked = sorted(want[i] for i in here)
+    limit = ranked[max(0, int(np.ceil(share * len(ranked))) - 1)]
+    assert all(got[rows[i][0]].keep == (want[i] >= limit - 1e-9) for i in here if abs(want[i] - limit) > 2e-3)
+    assert got[90].score is None and not got[91].keep and len(got) == len(rows)

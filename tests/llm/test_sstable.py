@@ -87,6 +87,17 @@ def test_round_trip(spark):
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
 
 
+@needs_vocabulary
+def test_very_long_runs(spark):
+    with open(sstable.VOCABULARY, "rb") as f:
+        encoding, _ = sstable.tokenizer(f.read(), sstable.PATTERN)
+    short = "a" + " " * 60_000 + "b \n\n c" * 9000
+    assert sstable.encode(encoding, short) == encoding.encode_ordinary(short)
+    rows = [(1, "a" + " " * 10_000_000 + "b"), (2, "\n\t " * 1_000_000), (3, "x" * 1_000_000), (4, "!" * 300_000 + "7" * 300_000)]
+    store = sstable.write(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: encoding.decode(r.tokens) for r in store.lookup(spark.range(9).toDF("doc_id")).collect()} == dict(rows)
+
+
 @needs_vocabulary
 def test_empty(spark):
     store = sstable.write(spark.createDataFrame([], "doc_id long, text string"))
