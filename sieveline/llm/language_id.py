@@ -15,7 +15,10 @@ costs has one language; that is seen from running sums. The others go through
 Viterbi together, a step of the array for the n-th word of all of them.
 
 Models are fitted on at most ``TRAIN_DOCS`` texts of each language, those with the
-smallest hash of doc_id. Ties go to the language that sorts first.
+smallest hash of doc_id. A language is a candidate for the scripts that more than
+``SEEN`` of the letters' words of its sample have. Ties go to the language that sorts
+first. Scores compare known languages, so a text of an unknown language in a script
+that is known gets the nearest known one and isn't rejected.
 
 Defined results, one row a row: (doc_id, lang, share, spans, keep). ``spans`` lists
 (start, end, lang) in words, ``lang`` has the most words, ``share`` is its part of
@@ -23,7 +26,8 @@ all words. Null and word-less texts are ``und`` with share 0 and no spans. Texts
 whose language isn't in ``accepted``, or has a smaller share than ``MIN_SHARE``, are
 not to be kept. Without any labelled text only the languages of scripts remain, and
 words of other scripts are ``und``. Repeated rows are labelled alike; doc_id may be
-null; other columns are ignored.
+null; other columns are ignored, whatever their names. Very long texts are labelled
+whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -43,6 +47,7 @@ SWITCH = 18.0
 CLIP = 10.0
 OUTSIDE = 30.0
 MIN_SHARE = 0.5
+SEEN = 0.01
 _BITS = 16
 
 #: Scripts by the range of code points, and the language that a script stands for.
@@ -136,7 +141,7 @@ def train(texts: list[tuple[str, str]]) -> Model:
             counts[:, j] += np.bincount(_trigrams(w)[0], minlength=1 << _BITS)
             script = word_scripts(w)
             used[:, j] += np.bincount(script[script != _ANY], minlength=len(NAMES))
-    seen = used > 0.01 * np.maximum(1, used.sum(axis=0))
+    seen = used > SEEN * np.maximum(1, used.sum(axis=0))
     langs = list(trained)
     for name, _, _, lang in SCRIPTS:
         if lang not in langs and not seen[NAMES.index(name)].any():
@@ -263,12 +268,10 @@ SCHEMA = "doc_id long, lang string, share double, spans array<struct<start:int,e
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """labelled(doc_id, text, lang): fit on at most train_docs texts of each language."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and lang is not null and text is not null")
-    keys = rows.select("doc_id", "lang")
-    chosen: list[tuple[int, str]] = []
-    for (lang,) in sorted(keys.select("lang").distinct().collect()):
-        # distinct ids of one language, by hash: a small top-k each, over two narrow columns
-        best = keys.filter(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-        chosen += [(r.doc_id, lang) for r in best.collect()]
+    # ids of each language by hash; a task passes on train_docs of each at most
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    keys = rows.select("doc_id", "lang").distinct().withColumn("place", first).filter(F.col("place") <= train_docs)
+    chosen = [(r.doc_id, r.lang) for r in keys.select("doc_id", "lang").collect()]
     if not chosen:
         return train([])
     wanted = rows.sparkSession.createDataFrame(chosen, "doc_id long, lang string")

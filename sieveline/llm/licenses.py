@@ -17,7 +17,8 @@ gaps, and sentences go neither over line ends that aren't visibly wrapped nor ov
 Defined results: a row (doc_id, licenses, sentences) for each text with a known
 sentence; ``licenses`` may be empty if no rule matches. Null and empty texts have
 none. Equal rows give one row; rows of one doc_id with different texts one each; a
-null doc_id is a value like any other. Other columns are ignored.
+null doc_id is a value like any other. Very long texts are scanned whole. Other columns
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,6 +68,35 @@ SENTENCES = [
     ("gpl2-later", "SPDX-License-Identifier: GPL-2.0-or-later"),
     ("gpl-warranty", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("gpl-see", "See the GNU General Public License for more details"),
+    ("gpl-copy", "You should have received a copy of the GNU General Public License along with this program"),
+    ("lgpl21-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl21-later", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("lgpl3-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl3-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl3-later", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("agpl3-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("agpl3-later", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("epl2-ref", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("epl2-ref", "SPDX-License-Identifier: EPL-2.0"),
+    ("zlib-warranty", "This software is provided 'as-is', without any express or implied warranty"),
+    ("zlib-liability", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("zlib-ref", "SPDX-License-Identifier: Zlib"),
+    ("bsl1-ref", "Distributed under the Boost Software License, Version 1.0"),
+    ("bsl1-ref", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("bsl1-ref", "SPDX-License-Identifier: BSL-1.0"),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd-ref", "SPDX-License-Identifier: 0BSD"),
+    ("wtfpl-title", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("wtfpl-title", "SPDX-License-Identifier: WTFPL"),
+    ("cddl1-ref", "The contents of this file are subject to the terms of the Common Development and Distribution License"),
+    ("cddl1-ref", "SPDX-License-Identifier: CDDL-1.0"),
+    ("artistic2-ref", "You may redistribute and/or modify it under the terms of the Artistic License 2.0"),
+    ("artistic2-ref", "SPDX-License-Identifier: Artistic-2.0"),
+    ("cc-by-sa-ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd-ref", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa-ref", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd-ref", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     ("lgpl3-ref", "SPDX-License-Identifier: LGPL-3.0-only"),
     ("agpl3-ref", "SPDX-License-Identifier: AGPL-3.0-only"),
     ("mpl2-ref", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -91,10 +121,23 @@ RULES = [
     ("BSD-2-Clause", "bsd-grant bsd-source bsd-binary"),
     ("Apache-2.0", "apache2-ref apache2-obtain apache2-warranty apache2-see"),
     ("Apache-2.0", "apache2-ref apache2-obtain"),
+    ("Zlib", "zlib-warranty zlib-liability zlib-grant"),
     ("GPL-3.0-or-later", "gpl3-later gpl-warranty gpl-see"),
     ("GPL-2.0-or-later", "gpl2-later gpl-warranty gpl-see"),
     ("GPL-3.0-or-later", "gpl3-later"),
     ("GPL-2.0-or-later", "gpl2-later"),
+    ("LGPL-2.1-or-later", "lgpl21-later"),
+    ("LGPL-3.0-or-later", "lgpl3-later"),
+    ("AGPL-3.0-or-later", "agpl3-later"),
+    ("EPL-2.0", "epl2-ref"),
+    ("Zlib", "zlib-grant"),
+    ("Zlib", "zlib-ref"),
+    ("BSL-1.0", "bsl1-ref"),
+    ("0BSD", "0bsd-grant"),
+    ("0BSD", "0bsd-ref"),
+    ("WTFPL", "wtfpl-title"),
+    ("CDDL-1.0", "cddl1-ref"),
+    ("Artistic-2.0", "artistic2-ref"),
     ("MIT", "mit-name"),
     ("MIT", "mit-ref"),
     ("ISC", "isc-ref"),
@@ -107,6 +150,9 @@ RULES = [
     ("AGPL-3.0-only", "agpl3-ref"),
     ("MPL-2.0", "mpl2-ref"),
     ("CC0-1.0", "cc0-ref"),
+    ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-ref"),
+    ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-ref"),
+    ("CC-BY-ND-4.0", "cc-by-nd-ref"),
     ("CC-BY-NC-4.0", "cc-by-nc-ref"),
     ("CC-BY-SA-4.0", "cc-by-sa-ref"),
     ("CC-BY-4.0", "cc-by-ref"),

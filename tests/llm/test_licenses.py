@@ -159,3 +159,111 @@ def test_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
     want = sorted((r[0], list(r[1]), list(r[2])) for r in con.execute(licenses.sql()).fetchall())
     assert sorted((r.doc_id, list(r.licenses), list(r.sentences)) for r in licenses.scan(spark.read.parquet(path)).collect()) == want
+
+
+_GPL = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{comma} either version {n} of the License, or
+(at your option) any later version.
+"""
+
+#: Notices as they stand in files, by licence.
+NOTICES = {
+    "GPL-3.0-or-later": _GPL.format(what="program", mark=":", kind="", comma=",", n="3")
+    + """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "GPL-2.0-or-later": _GPL.format(what="program", mark=";", kind="", comma=";", n="2"),
+    "LGPL-2.1-or-later": _GPL.format(what="library", mark=";", kind="Lesser ", comma=";", n="2.1"),
+    "LGPL-3.0-or-later": _GPL.format(what="library", mark=":", kind="Lesser ", comma=",", n="3"),
+    "AGPL-3.0-or-later": _GPL.format(what="program", mark=":", kind="Affero ", comma=",", n="3"),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt)
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n",
+    "CDDL-1.0": """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the License).
+""".replace(" (the License)", ""),
+    "Artistic-2.0": "You may redistribute and/or modify it under the\nterms of the Artistic License 2.0.\n",
+    "CC0-1.0": """To the extent possible under law, the author has waived all
+copyright and related or neighboring rights to this work.
+""",
+    **{
+        f"CC-BY{code}-4.0": f"This work is licensed under a\nCreative Commons Attribution{name} 4.0 International License.\n"
+        for code, name in [("", ""), ("-SA", "-ShareAlike"), ("-NC", "-NonCommercial"), ("-ND", "-NoDerivatives"), ("-NC-SA", "-NonCommercial-ShareAlike"), ("-NC-ND", "-NonCommercial-NoDerivatives")]
+    },
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+}
+
+
+def test_notices_in_files(spark):
+    forms = {
+        "plain": lambda line: line,
+        "indented": lambda line: f"    {line}" if line else line,
+        "hash": lambda line: f"# {line}".rstrip(),
+        "slashes": lambda line: f"// {line}".rstrip(),
+        "stars": lambda line: f" * {line}".rstrip(),
+    }
+    assert len(NOTICES) >= 20
+    rows, want = [], {}
+    for name, notice in NOTICES.items():
+        for form, change in forms.items():
+            text = "\n".join(map(change, f"Copyright someone\n\n{notice}\nOther text follows here".split("\n")))
+            want[len(rows)] = (name, form)
+            rows.append((len(rows), f"/*\n{text}\n */" if form == "stars" else text))
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = {want[i]: got.get(i) for i in want if got.get(i) != [want[i][0]]}
+    assert not missed
+
+
+def test_each_sentence_knows_itself(spark):
+    rows = [(i, s + ".") for i, (_, s) in enumerate(licenses.SENTENCES)]
+    got = {r.doc_id: r.sentences for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got.get(i) for i, _ in rows} == {i: [k] for i, (k, _) in enumerate(licenses.SENTENCES)}
