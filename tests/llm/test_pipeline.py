@@ -53,3 +53,23 @@ def test_stages(spark, folder):
     packed = {r.doc_id for r in seen["best_fit_packing"].collect()}
     assert packed == set(clean)
     assert corpus_pipeline.run(spark, folder).count() == seen["best_fit_packing"].count()
+
+
+def test_odd_rows_pass_each_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    long = spark.createDataFrame([(900, " ".join(f"{w}{i % 97}" for i in range(3000) for w in GOOD), "en", "s", 9)], docs.schema)
+    odd = docs.unionAll(docs.filter("doc_id = 7")).unionAll(docs.filter("doc_id = 7")).unionAll(long)
+    odd = odd.selectExpr("*", "cast(null as string) as removed_words", "1 as longest_match", "doc_id as score", "'k' as keep", "2 as sid", "doc_id as lost_id").toDF(*docs.columns, "removed_words", "longest_match", "score", "keep", "sid", "lost_id")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, folder)
+        empty = stage(spark, odd.limit(0), folder)
+        assert empty.columns == got.columns and empty.count() == 0, name
+        rows = got.collect()
+        if name != "best_fit_packing":
+            assert got.columns == odd.columns
+            assert all(r.removed_words is None and r.longest_match == 1 and r.lost_id == r.doc_id == r.score and r.keep == "k" for r in rows), name
+        assert sum(r.doc_id == 7 for r in rows) in (0, 3) and any(r.doc_id == 900 for r in rows), name
+        if name == "near_duplicates":
+            assert sum(r.text is None for r in rows) == 1 and sum(r.doc_id is None for r in rows) == 1
+        if name == "benchmark_decontamination":
+            assert sum(r.text is None for r in rows) == 1 and sum(r.text == "" for r in rows) == 1
