@@ -538,14 +538,36 @@ def _verify(t: float):
             at = to
         union = size[a].astype(np.int64) + size[b] - both
         ok = both >= t * union - 1e-9
-        return pa.table({"a": sid[a[ok]], "b": sid[b[ok]], "jaccard": both[ok] / union[ok]})
+        a, b = a[ok], b[ok]
+        copies = np.asarray(sets.column("copies"))[order]
+        return pa.table({"a": sid[a], "b": sid[b], "jaccard": both[ok] / union[ok], "of_a": copies[a], "of_b": copies[b], "joins": _joining(a.tolist(), b.tolist(), len(sid))})
 
     return run
 
 
+def _joining(a: list[int], b: list[int], n: int) -> np.ndarray:
+    """Which of the pairs, in order, join two groups that the pairs before didn't: as many as connect all."""
+    root = list(range(n))
+
+    def of(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    joins = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = of(x), of(y)
+        if x != y:
+            root[y] = x
+            joins[i] = True
+    return joins
+
+
 def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members(doc_id, sid) maps documents to their n-gram sets,
-    pairs(a, b, jaccard) are the similar distinct sets, a < b."""
+    pairs(a, b, jaccard, of_a, of_b, joins) are the similar distinct sets, a < b, with the
+    numbers of their documents; the pairs that join connect all that the pairs connect."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -604,9 +626,11 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     placed = scratch.save(placed, "ngram-cells")
     needed = placed.select(F.col("cell").alias("spot"), F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
     sets = texts.mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
-    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "grams")
-    checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return members.distinct(), checked
+    members = members.distinct()
+    sets = sets.join(members.groupBy("sid").agg(F.count("*").alias("copies")), "sid")
+    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "copies", "grams")
+    checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double, of_a long, of_b long, joins boolean")
+    return members, checked
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -633,7 +657,7 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     # a doc_id with several texts links their sets
     shared = members.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.count("*").alias("k")).filter("k > 1")
     extra = shared.join(members, "doc_id").select("a", F.col("sid").alias("b")).filter("a <> b")
-    edges = pairs.select("a", "b").unionAll(extra)
+    edges = pairs.filter("joins").select("a", "b").unionAll(extra)
     edges = scratch.save(edges.unionAll(edges.select("b", "a")).distinct(), "group-edges")
     touched = edges.select(F.col("a").alias("sid")).distinct()
     now = scratch.save(own.join(touched, "sid", "left_semi").withColumn("changed", F.lit(True)), "group-labels")
@@ -651,8 +675,7 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def _links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, links): how many other documents each document with words is similar to."""
     weight = members.groupBy("sid").agg(F.count("*").alias("m"))
-    about = lambda end: weight.withColumnRenamed("sid", end)
-    near = pairs.join(about("b"), "b").select(F.col("a").alias("sid"), "m").unionAll(pairs.join(about("a"), "a").select(F.col("b").alias("sid"), "m")).unionAll(weight)
+    near = pairs.select(F.col("a").alias("sid"), F.col("of_b").alias("m")).unionAll(pairs.select(F.col("b").alias("sid"), F.col("of_a").alias("m"))).unionAll(weight)
     total = near.groupBy("sid").agg(F.sum("m").alias("total"))
     texts = members.groupBy("doc_id").agg(F.count("*").alias("k"))
     links = members.join(total, "sid").select("doc_id", (F.col("total") - 1).alias("links"))
