@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -308,16 +309,21 @@ class Index:
         before = self.spark.conf.get(rule, None)
         self.spark.conf.set(rule, ",".join(filter(None, [before, post.NO_REPEAT])))
         try:
-            documents.write.parquet(at["docs"])
-            n, ids, least, most = self.spark.read.schema("doc_id long").parquet(at["docs"]).agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).collect()[0]
-            if n > ids:
-                raise IndexStateError("a doc_id is repeated")
-            check = self._new_ids(batch, least, most)
-            check(self._commits())
-            # kept unordered first, so that sampling the ranges doesn't tokenise once more
-            postings.write.parquet(f"{self.path}/{staged}")
-            post.clustered(self.spark.read.schema(post.POSTINGS).parquet(f"{self.path}/{staged}"), files).write.parquet(at["postings"])
-            post.term_stats(self.spark.read.schema(post.POSTINGS).parquet(at["postings"])).write.parquet(at["stats"])
+            # two jobs at a time: most of a small batch is waiting for single tasks
+            with ThreadPoolExecutor(1) as beside:
+                # kept unordered first, so that sampling the ranges doesn't tokenise once more
+                staging = beside.submit(postings.write.parquet, f"{self.path}/{staged}")
+                documents.write.parquet(at["docs"])
+                n, ids, least, most = self.spark.read.schema("doc_id long").parquet(at["docs"]).agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).collect()[0]
+                if n > ids:
+                    raise IndexStateError("a doc_id is repeated")
+                check = self._new_ids(batch, least, most)
+                check(self._commits())
+                staging.result()
+                rows = self.spark.read.schema(post.POSTINGS).parquet(f"{self.path}/{staged}")
+                counting = beside.submit(post.term_stats(rows).write.parquet, at["stats"])
+                post.clustered(rows, files).write.parquet(at["postings"])
+                counting.result()
             done = self._commit({"batch": batch, "tables": list(at), "docs": n, "min_doc_id": least, "max_doc_id": most, "source": source}, check)
         except BaseException:
             done = None
