@@ -18,7 +18,8 @@ no words and zeros as statistics, and are rejected: score null, keep false; they
 don't count for the quantile. Ties at the threshold are kept. Labels without a
 quality that aren't toxic, or of unknown documents, are ignored; of repeated labels the worst counts. Without
 both kinds of labels all scores are 0 and all documents with words are kept. Other
-columns are ignored. An empty table gives no rows.
+columns are ignored, whatever their names. Very long texts are scored whole. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,12 +141,14 @@ class Model:
 
 def telling(doc: np.ndarray, mark: np.ndarray, good: np.ndarray) -> np.ndarray:
     """The marks that are in at least MIN_DOCS texts and whose shares among good and bad texts differ by Z standard errors."""
-    values, index = np.unique(mark, return_inverse=True)
-    in_bad = np.bincount(index, weights=~good[doc], minlength=len(values))
-    total = np.bincount(index, minlength=len(values))
+    values, total = np.unique(mark, return_counts=True)
+    values, total = values[total >= MIN_DOCS], total[total >= MIN_DOCS]
+    bad_values, bad_total = np.unique(mark[~good[doc]], return_counts=True)
+    at = np.minimum(np.searchsorted(bad_values, values), max(0, len(bad_values) - 1))
+    in_bad = np.where(bad_values[at] == values, bad_total[at], 0) if len(bad_values) else np.zeros(len(values))
     share = (~good).mean()
     z = (in_bad - share * total) / np.sqrt(np.maximum(1e-9, share * (1 - share) * total))
-    return values[(total >= MIN_DOCS) & (np.abs(z) >= Z)]
+    return values[np.abs(z) >= Z]
 
 
 def pushes(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,15 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # at most max_labelled rows of 12 bytes
     sample = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_extract, "doc_id long, bad int, stats array<float>, marks array<int>")
-    table = sample.toArrow().sort_by([("doc_id", "ascending")])
+    table = sample.toArrow()
+    table = table.take(np.argsort(np.asarray(table.column("doc_id")), kind="stable"))
     stats = np.asarray(table.column("stats").combine_chunks().flatten(), np.float32).reshape(-1, len(STATS))
     if not len(stats):
         k = len(STATS)
         return Model(np.zeros(0, np.uint32), np.zeros(0), np.zeros(3 * k), np.zeros(k), np.ones(k)), 0.0
     lists = table.column("marks").combine_chunks()
     mark = np.asarray(lists.flatten(), np.int32).view(np.uint32)
-    doc = np.repeat(np.arange(len(stats)), np.asarray(pa.compute.list_value_length(lists)))
-    return fit_pairs(stats, doc, mark, np.asarray(table.column("bad")) == 0), float(share or 0.0)
+    doc = np.repeat(np.arange(len(stats), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
+    good = np.asarray(table.column("bad")) == 0
+    del table, lists
+    return fit_pairs(stats, doc, mark, good), float(share or 0.0)
 
 
 def _score(model):
