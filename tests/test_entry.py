@@ -27,7 +27,7 @@ def test_search_queries_agree_with_sql(spark):
     from sieveline import queries
 
     con = duckdb.connect()
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations", "pages", "region", "nation"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     for name, run in queries.QUERIES.items():
         df = run(spark, DATA)
