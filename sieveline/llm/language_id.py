@@ -136,7 +136,7 @@ def train(texts: list[tuple[str, str]]) -> Model:
     for j, lang in enumerate(trained):
         # in slices, so that memory doesn't follow the sample
         batch = pa.record_batch({"text": pa.array([t for name, t in texts if name == lang], pa.string())})
-        for part in textvec.slices(batch, "text"):
+        for part in textvec.slices(batch, "text", textvec.FINE_BYTES):
             w = textvec.words(part.column("text"), hashed=False)
             counts[:, j] += np.bincount(_trigrams(w)[0], minlength=1 << _BITS)
             script = word_scripts(w)
@@ -228,7 +228,7 @@ def _label(model, switch: float, accepted: list[str] | None, min_share: float):
         m: Model = model.value
         ok = set(m.langs) - {"und"} if accepted is None else set(accepted) - {"und"}
         for batch in batches:
-            for part in textvec.slices(batch, "text"):
+            for part in textvec.slices(batch, "text", textvec.FINE_BYTES):
                 w = textvec.words(part.column("text"), hashed=False)
                 s = m.scores(w)
                 single = one_language(s, w.first, switch)
@@ -294,4 +294,4 @@ def kept(docs: DataFrame, model: Model, accepted: list[str] | None = None, switc
         parts = _label(shared, switch, accepted, min_share)(iter([rows]))
         return np.concatenate([np.zeros(0, bool), *(np.asarray(p.column("keep")) for p in parts)])
 
-    return textvec.keep_rows(docs, good)
+    return textvec.keep_rows(docs, good, textvec.FINE_BYTES)

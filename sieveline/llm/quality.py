@@ -195,7 +195,7 @@ def fit_pairs(stats: np.ndarray, doc: np.ndarray, mark: np.ndarray, good: np.nda
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in textvec.slices(batch, "text"):
+        for part in textvec.slices(batch, "text", textvec.FINE_BYTES):
             stats, doc, mark = features(part.column("text"))
             doc, mark = _distinct(doc, mark)
             first = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textvec.slices(batch, "text"):
+            for part in textvec.slices(batch, "text", textvec.FINE_BYTES):
                 s, ok = model.value.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s, pa.float64(), mask=~ok)], names=["doc_id", "score"])
 
@@ -274,4 +274,4 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float | None = None) -> D
         s, ok = shared.value.scores(texts)
         return ok if t is None else ok & (s >= t)
 
-    return textvec.keep_rows(docs, good)
+    return textvec.keep_rows(docs, good, textvec.FINE_BYTES)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 #: Texts are taken in slices of about so many bytes, which bounds memory; one
 #: longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: The same for what holds a hundred bytes and more for each byte of text, and is kept beside a grown heap.
+FINE_BYTES = 1 << 19
 
 #: The same word pattern for SQL engines, to be applied to lower-cased text.
 WORD_SQL = r"[^\x00-/:-@\[-`{-\x7f\x{a0}-\x{bf}\x{d7}\x{f7}\x{2000}-\x{207f}\x{3000}-\x{303f}]+"
@@ -48,7 +50,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+        size = n + (n >> 2)
         for k, base in enumerate((_P, _PINV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -206,8 +208,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def keep_rows(docs: DataFrame, wanted: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of docs whose text is wanted, with all their columns, in one pass."""
+def keep_rows(docs: DataFrame, wanted: Callable[[pa.Array], np.ndarray], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs whose text is wanted, with all their columns, in one pass over slices of limit bytes."""
     places = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     inner = docs.toDF(*places)
@@ -215,7 +217,7 @@ def keep_rows(docs: DataFrame, wanted: Callable[[pa.Array], np.ndarray]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, places[at]):
+            for part in slices(batch, places[at], limit):
                 yield part.filter(pa.array(wanted(part.column(at)), pa.bool_()))
 
     return inner.mapInArrow(run, inner.schema).toDF(*docs.columns)

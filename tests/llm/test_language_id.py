@@ -86,3 +86,22 @@ def test_fit_and_held_out_accuracy(spark):
 def test_scripts():
     w = textvec.words(pa.array(["abc ёж 12 3кг 漢字 שלום é"]), hashed=False)
     assert [li.NAMES[s] if s < len(li.NAMES) else "any" for s in li.word_scripts(w)] == ["latin", "cyrillic", "any", "cyrillic", "han", "hebrew", "latin"]
+
+
+def test_memory_follows_slices():
+    """A batch of many texts takes no more than a slice of it at a time."""
+    import tracemalloc
+
+    rnd = random.Random(4)
+    shared = type("Shared", (), {"value": model(rnd)})
+    texts = [text(rnd, rnd.choice(list(SOURCES)), 500) for _ in range(40)] * 100
+    rows = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    assert rows.nbytes > 4 * textvec.SLICE_BYTES
+    tracemalloc.start()
+    try:
+        n = sum(p.num_rows for p in li._label(shared, li.SWITCH, None, li.MIN_SHARE)(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 80 << 20
