@@ -26,6 +26,12 @@ search and 48 in the comparison of two sets):
 4. Candidates are verified on their whole sets. Each pair goes to a cell that nearly all
    pairs of its group of similar sets have in common, so the sets of a group of copies
    travel once, not once a pair; a cell of very many pairs is cut into a grid.
+5. ``classes`` and ``one_of_each`` don't list the pairs of large groups of near copies. In
+   lists of ``LONG`` sets or more the set that is in most of them is a *pivot* P. The sets
+   similar to it are its core, and |x & y| >= |x & P| + |y & P| - |P| shows from two numbers
+   g(x) + g(y) >= 0, with g(x) = (1 + t) |x & P| - t |x| - (1 + t) |P| / 2, that x and y are
+   similar. Such pairs are counted by sorting g; lists leave them out, and all others go the
+   way above. A set has one pivot at most, so no pair counts twice.
 
 ``classes`` has a row a document: the class (connected by similar pairs) it is in, and
 the number of documents it is similar to. It is counted from pairs of distinct sets and
@@ -40,7 +46,8 @@ largest over its rows; it is never paired with itself, and joins the classes of
 texts. Ties need no rule: all pairs at or above the threshold count, and a class has
 its smallest doc_id as its id. Columns other than doc_id and text are ignored, whatever
 their names. No rows give no pairs and no classes. Partners and candidates are not
-capped; hot lists cost their pairs.
+capped; hot lists cost the pairs that no core covers. Sets of a doc_id of several texts are
+in no core, as its links count once whatever texts they come from.
 """
 
 from __future__ import annotations
@@ -71,6 +78,8 @@ CELL_PAIRS = 100_000
 GROUP_PAIRS = 2_000
 #: Entries of a list up to which those that can't be similar to any other are dropped.
 SHORT = 64
+#: Sets of a list from which it has a pivot.
+LONG = 128
 #: Sets of a list, by the counters, above which it is cut into pairs of parts.
 HOT = 1 << 15
 #: Pairs that a task counts in memory at once.
@@ -388,11 +397,75 @@ def _counted(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return a[first], b[first], np.minimum.reduceat(need, first), np.minimum(np.add.reduceat(met.astype(np.int64), first), 100).astype(np.int8)
 
 
-def _pairs(t: float):
-    """From lists: (a, [b], [need and met]), each pair once for each time that memory is emptied."""
+def _unsure(block: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, partners): the place of each entry by block and g, and how many of the first
+    places make pairs with it that aren't known to be similar by their block and g."""
+    order = np.lexsort((g, block))
+    block, g = block[order], g[order]
+    place = np.arange(len(g))
+    start = np.searchsorted(block, block)
+    less = np.zeros(len(g), np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        if y - x > 1:
+            less[x:y] = np.searchsorted(g[x:y], -g[x:y])
+    return order, start + np.minimum(less, place - start)
+
+
+def _pairs(t: float, long: int = 0):
+    """From lists: (a, [b], [need and met]), each pair once for each time that memory is
+    emptied. With long, rows without places come before the lists of their lead, with the
+    pivots of its sets; lists of at least so many sets leave out what those show."""
+
+    def short_ones(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        count, total = (np.asarray(pa.compute.list_value_length(batch.column(c))).astype(np.int64) for c in ("sids", "places"))
+        sid, n, pos = (np.asarray(batch.column(c).flatten()) for c in ("sids", "sizes", "places"))
+        # the sets of a row repeat for each of its lists
+        place = (np.arange(len(pos)) - np.repeat(np.cumsum(total) - total, total)) % np.repeat(count, total)
+        spot = np.repeat(np.cumsum(count) - count, total) + place
+        sid, n = sid[spot], n[spot]
+        after = np.repeat(count, total) - place - 1  # entries that follow in the list
+        live = np.flatnonzero(after >= 1)
+        step = 1
+        while len(live):
+            for x in range(0, len(live), HELD_PAIRS):
+                i = live[x : x + HELD_PAIRS]
+                yield sid, n, pos, i, i + step
+            step += 1
+            live = live[after[live] >= step]
+
+    def long_ones(batch: pa.RecordBatch, known: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+        leads, at = np.asarray(batch.column("lead")), None
+        for r in range(batch.num_rows):
+            sid, n, places = (np.asarray(batch.column(c)[r].values) for c in ("sids", "sizes", "places"))
+            if at is None or leads[r] != leads[r - 1]:
+                at = slice(int(np.searchsorted(known[0], leads[r])), int(np.searchsorted(known[0], leads[r], side="right")))
+                by = np.argsort(known[1][at])
+                ids, pivots, gs = (k[at][by] for k in known[1:])
+                pivots = np.unique(pivots, return_inverse=True)[1]
+            block, g = len(ids) + np.arange(len(sid)), np.zeros(len(sid))
+            if len(ids):
+                spot = np.minimum(np.searchsorted(ids, sid), len(ids) - 1)
+                on = ids[spot] == sid
+                block[on], g[on] = pivots[spot[on]], gs[spot[on]]
+            order, partners = _unsure(block, g)
+            upto = np.cumsum(partners)
+            x = 0
+            while x < len(order):
+                y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + HELD_PAIRS, side="right")))
+                k = partners[x:y]
+                i = np.repeat(order[x:y], k)
+                j = order[np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)]
+                i, j = np.minimum(i, j), np.maximum(i, j)
+                if len(i):
+                    for pos in places.reshape(-1, len(sid)):
+                        yield sid, n, pos, i, j
+                x = y
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        known = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
         def flush() -> Iterator[pa.RecordBatch]:
             a, b, need, met = _counted(held)
@@ -401,37 +474,36 @@ def _pairs(t: float):
                 # met in units of 4, need (at most SUBSET) below
                 yield _grouped(a[y], {"b": b[y], "code": (np.minimum(met[y], 24) * 4 + need[y]).astype(np.int8)})
 
+        def meetings(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            nonlocal known
+            if not long:
+                yield from short_ones(batch)
+                return
+            some = np.asarray(pa.compute.list_value_length(batch.column("places"))) > 0
+            large = np.asarray(pa.compute.list_value_length(batch.column("sids"))) >= long
+            told = batch.filter(pa.array(~some))
+            known = tuple(np.concatenate([k, x]) for k, x in zip(known, (np.asarray(told.column("lead")), *(np.asarray(told.column(c).flatten()) for c in ("sids", "pivots", "gs"))), strict=True))
+            yield from short_ones(batch.filter(pa.array(some & ~large)))
+            yield from long_ones(batch.filter(pa.array(some & large)), known)
+            if batch.num_rows:
+                last = int(np.searchsorted(known[0], batch.column("lead")[-1].as_py()))
+                known = tuple(k[last:] for k in known)
+
         for batch in batches:
-            count, total = (np.asarray(pa.compute.list_value_length(batch.column(c))).astype(np.int64) for c in ("sids", "places"))
-            sid, n, pos = (np.asarray(batch.column(c).flatten()) for c in ("sids", "sizes", "places"))
-            # the sets of a row repeat for each of its lists
-            place = (np.arange(len(pos)) - np.repeat(np.cumsum(total) - total, total)) % np.repeat(count, total)
-            spot = np.repeat(np.cumsum(count) - count, total) + place
-            sid, n = sid[spot], n[spot]
-            side, n = n >> 29, n & _SIZE
-            parted = side.any()
-            after = np.repeat(count, total) - place - 1  # entries that follow in the list
-            live = np.flatnonzero(after >= 1)
-            step = 1
-            while len(live):
-                for x in range(0, len(live), HELD_PAIRS):
-                    i = live[x : x + HELD_PAIRS]
-                    j = i + step
-                    ok, need_all = _met(n[i], n[j], pos[i], pos[j], t)
-                    if parted:  # sets of one side meet in another list
-                        ok &= (side[i] < 2) | (side[i] != side[j])
-                    i, j = i[ok], j[ok]
-                    need = np.where(pos[i] == 0x7FFFFFFF, 1, np.minimum(SUBSET, np.ceil(need_all[ok]))).astype(np.int8)
-                    held.append((sid[i], sid[j], need, np.ones(len(i), np.int8)))
-                    size += len(i)
-                    if size > HELD_PAIRS:
-                        held = [_counted(held)]
-                        size = len(held[0][0])
-                        if size > HELD_PAIRS // 2:
-                            yield from flush()
-                            held, size = [], 0
-                step += 1
-                live = live[after[live] >= step]
+            for sid, n, pos, i, j in meetings(batch):
+                side_i, side_j, n_i, n_j = n[i] >> 29, n[j] >> 29, n[i] & _SIZE, n[j] & _SIZE
+                ok, need = _met(n_i, n_j, pos[i], pos[j], t)
+                ok &= (side_i < 2) | (side_i != side_j)  # sets of one side meet in another list
+                i, j = i[ok], j[ok]
+                need = np.where(pos[i] == 0x7FFFFFFF, 1, np.minimum(SUBSET, np.ceil(need[ok]))).astype(np.int8)
+                held.append((sid[i], sid[j], need, np.ones(len(i), np.int8)))
+                size += len(i)
+                if size > HELD_PAIRS:
+                    held = [_counted(held)]
+                    size = len(held[0][0])
+                    if size > HELD_PAIRS // 2:
+                        yield from flush()
+                        held, size = [], 0
         if held:
             yield from flush()
 
@@ -449,15 +521,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _grouped(a[ok], {"b": b[ok]})
 
 
-def _bit(sid: np.ndarray, doc_id: np.ndarray, m: int) -> np.ndarray:
-    return textvec.mix(textvec.mix(sid.view(np.uint64)) + doc_id.view(np.uint64)) & np.uint64(m - 1)
+def _bit(doc_id: np.ndarray, m: int) -> np.ndarray:
+    return textvec.mix(doc_id.view(np.uint64)) & np.uint64(m - 1)
 
 
 def _bits(m: int):
-    """Bits of a task's (sid, doc_id), in non-empty chunks."""
+    """Bits of a task's doc_ids, in non-empty chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_bit(np.asarray(b.column("sid")), np.asarray(b.column("doc_id")), m) for b in batches]
+        found = [_bit(np.asarray(b.column("doc_id")), m) for b in batches]
         bits = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         chunk = (bits >> np.uint64(17)).astype(np.int64)
         for c in np.unique(chunk):
@@ -491,25 +563,90 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def _wanted(n: int, bits):
-    """(sid, set) of the texts whose (sid, doc_id) may be wanted."""
+    """(sid, set) of the texts whose doc_id may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = bits.value
         for batch in batches:
-            for part in textvec.slices(batch, "text"):
+            b = _bit(np.asarray(batch.column("doc_id")), len(field) * 8)
+            hit = (field[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1
+            for part in textvec.slices(batch.filter(pa.array(hit == 1)), "text"):
                 h, doc = _sets(part.column("text"), n)
                 first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                sid = _set_ids(h, first)
-                b = _bit(sid, np.asarray(part.column("doc_id")), len(field) * 8)
-                hit = (field[(b >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (b & np.uint64(7)).astype(np.uint8))) & 1
-                hit = np.flatnonzero(hit & (np.diff(first) > 0))
-                if len(hit):
-                    blobs = [_packed(h[first[i] : first[i + 1]]) for i in hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(np.diff(first)[hit].astype(np.int32)), pa.array(blobs, pa.binary())], names=["sid", "size", "grams"])
+                sid, size = _set_ids(h, first), np.diff(first)
+                some = np.flatnonzero(size > 0)
+                blobs = [_packed(h[first[i] : first[i + 1]]) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[some]), pa.array(size[some].astype(np.int32)), pa.array(blobs, pa.binary())], names=["sid", "size", "grams"])
 
     return run
 
 
+def _sets_of(texts: DataFrame, members: DataFrame, sids: DataFrame, expected: int, n: int) -> DataFrame:
+    """(sid, size, grams) of at least the sids, each once."""
+    bits = 1 << 17
+    while bits < min(FILTER_BITS, 16 * expected):
+        bits *= 2
+    # one document of each set brings it
+    ends = sids.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
+    field = np.zeros(bits // 8, np.uint8)
+    for row in ends.mapInArrow(_bits(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or_up, "chunk int, counts binary").collect():
+        field[row.chunk << 14 : (row.chunk + 1) << 14] = np.frombuffer(row.counts, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(field)
+    return texts.mapInArrow(_wanted(n, shared), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
+
+
+def _near(t: float):
+    """(sid, pivot, g) of the sets that are similar to their pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int, float]] = []
+            for row in batch.to_pylist():
+                if row["pivot"] != last:
+                    last, pivot = row["pivot"], _unpacked(row["of_pivot"], row["most"])
+                x = _unpacked(row["grams"], row["size"])
+                both = int((pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] == x).sum())
+                if both >= t * (len(x) + len(pivot) - both) - 1e-9:
+                    found.append((row["sid"], last, (1 + t) * both - t * len(x) - (1 + t) / 2 * len(pivot)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["sid", "pivot", "g"])
+
+    return run
+
+
+def _cores(texts: DataFrame, members: DataFrame, lists: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame] | None:
+    """(core, told): core(sid, pivot, g) has the sets that are similar to a pivot, told the
+    rows that go with the lists of each lead. None without long lists."""
+    entries = lists.filter(F.size("sids") >= LONG).select("lead", F.explode("sids").alias("sid"), (F.size("places") / F.size("sids")).cast("long").alias("k"))
+    met = entries.groupBy("lead", "sid").agg(F.sum("k").alias("k"))
+    several = members.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1")
+    if several.limit(1).count():
+        met = met.join(several.join(members, "doc_id").select("sid").distinct(), "sid", "left_anti")
+    met = scratch.save(met, "ngram-met")
+    if not met.limit(1).count():
+        return None
+    copies = members.join(met.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.count("*").alias("copies"))
+    chosen = met.join(copies, "sid").groupBy("lead").agg(F.max(F.struct("k", "copies", "sid")).alias("top"), F.count("*").alias("sets")).select("lead", F.col("top.sid").alias("pivot"), "sets")
+    given = met.join(chosen, "lead").groupBy("sid").agg(F.max(F.struct("sets", "pivot")).alias("top")).select("sid", F.col("top.pivot").alias("pivot"))
+    given = scratch.save(given, "ngram-given")
+    wanted = given.select("sid").unionAll(given.select("pivot")).distinct()
+    sets = scratch.save(_sets_of(texts, members, wanted, given.count(), n).join(wanted, "sid", "left_semi"), "ngram-given-sets")
+    pivots = sets.join(given.select("pivot").distinct(), sets.sid == F.col("pivot"), "left_semi").select(F.col("sid").alias("pivot"), F.col("size").alias("most"), F.col("grams").alias("of_pivot"))
+    pairs = sets.join(given, "sid").join(pivots, "pivot").select("sid", "pivot", "size", "grams", "most", "of_pivot")
+    core = scratch.save(pairs.mapInArrow(_near(t), "sid long, pivot long, g double"), "ngram-core")
+    told = met.join(core, "sid").select("lead", F.array("sid").alias("sids"), F.array().cast("array<int>").alias("sizes"), F.array().cast("array<int>").alias("places"), F.array("pivot").alias("pivots"), F.array("g").alias("gs"))
+    return core, told
+
+
+def _core_links(group: pa.Table) -> pa.Table:
+    """(sid, m): in how many documents the sets of one core are that each is known to be similar to, but its own."""
+    g, m = np.asarray(group.column("g")), np.asarray(group.column("copies"))
+    order = np.argsort(g)
+    upto = np.concatenate([[0], np.cumsum(m[order])])
+    total = upto[-1] - upto[np.searchsorted(g[order], -g)] - np.where(g >= 0, m, 0)
+    return pa.table({"sid": group.column("sid"), "m": pa.array(total.astype(np.int64))})
+
+
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(sets.column("sid")), kind="stable")
@@ -537,7 +674,8 @@ def _verify(t: float):
             both[at:to] = np.bincount(pair - at, weights=owned[spot] == asked, minlength=to - at)
             at = to
         union = size[a].astype(np.int64) + size[b] - both
-        ok = both >= t * union - 1e-9
+        pivot, g = (np.asarray(sets.column(c))[order] for c in ("pivot", "g"))
+        ok = (both >= t * union - 1e-9) & ((pivot[a] != pivot[b]) | (g[a] + g[b] < 0))
         a, b = a[ok], b[ok]
         copies = np.asarray(sets.column("copies"))[order]
         return pa.table({"a": sid[a], "b": sid[b], "jaccard": both[ok] / union[ok], "of_a": copies[a], "of_b": copies[b], "joins": _joining(a.tolist(), b.tolist(), len(sid))})
@@ -568,6 +706,11 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     """(members, pairs): members(doc_id, sid) maps documents to their n-gram sets,
     pairs(a, b, jaccard, of_a, of_b, joins) are the similar distinct sets, a < b, with the
     numbers of their documents; the pairs that join connect all that the pairs connect."""
+    return _search(docs, threshold, n, False)[:2]
+
+
+def _search(docs: DataFrame, threshold: float, n: int, cores: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(members, pairs, core): with cores, the pairs are those that no core shows."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
@@ -589,20 +732,19 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     rows = texts.select("text").mapInArrow(_postings(n, threshold, light, order, HOT), "key long, sid long, at long")
     lists = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _lists(batches, threshold), "lead long, sids array<long>, sizes array<int>, places array<int>")
     lists = scratch.save(lists, "ngram-lists")
-    met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, code array<tinyint>")
+    members = members.distinct()
+    core = None
+    if cores and (found := _cores(texts, members, lists, threshold, n)):
+        core, told = found
+        lists = lists.withColumns({"pivots": F.array().cast("array<long>"), "gs": F.array().cast("array<double>")}).unionByName(told).withColumn("kind", F.size("places") > 0)
+        met = lists.repartition("lead").sortWithinPartitions("lead", "kind").mapInArrow(_pairs(threshold, LONG), "a long, b array<long>, code array<tinyint>")
+    else:
+        met = lists.repartition("lead").sortWithinPartitions("lead").mapInArrow(_pairs(threshold), "a long, b array<long>, code array<tinyint>")
     pairs = met.repartition("a").sortWithinPartitions("a").mapInArrow(_candidates, "a long, b array<long>")
     pairs = scratch.save(pairs, "ngram-candidates")
 
     total = pairs.agg(F.coalesce(F.sum(F.size("b")), F.lit(0)).alias("k")).collect()[0].k
-    bits = 1 << 17
-    while bits < min(FILTER_BITS, 32 * total):
-        bits *= 2
     ends = pairs.select(F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
-    # one document of each set brings it
-    ends = ends.join(members.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
-    field = np.zeros(bits // 8, np.uint8)
-    for row in ends.mapInArrow(_bits(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or_up, "chunk int, counts binary").collect():
-        field[row.chunk << 14 : (row.chunk + 1) << 14] = np.frombuffer(row.counts, np.uint8)
 
     # the cell of a pair is a label of its first set that, in groups of similar sets,
     # nearly all have in common: the least first partner of its partners, and so on
@@ -625,12 +767,15 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> t
     placed = placed.select(F.pmod(F.xxhash64("cell", "h", "s.k"), F.lit(groups_of_cells)).alias("cell"), "a", F.col("s.b").alias("b"))
     placed = scratch.save(placed, "ngram-cells")
     needed = placed.select(F.col("cell").alias("spot"), F.explode(F.concat(F.array("a"), "b")).alias("sid")).distinct()
-    sets = texts.mapInArrow(_wanted(n, sc.broadcast(field)), "sid long, size int, grams binary").repartition("sid").dropDuplicates(["sid"])
-    members = members.distinct()
+    sets = _sets_of(texts, members, ends, 2 * total, n)
     sets = sets.join(members.groupBy("sid").agg(F.count("*").alias("copies")), "sid")
-    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "copies", "grams")
+    if core is None:
+        sets = sets.withColumns({"pivot": F.col("sid"), "g": F.lit(-math.inf)})
+    else:
+        sets = sets.join(core, "sid", "left").withColumns({"pivot": F.coalesce("pivot", "sid"), "g": F.coalesce("g", F.lit(-math.inf))})
+    sets = needed.join(sets.hint("merge"), "sid").select("spot", "sid", "size", "copies", "grams", "pivot", "g")
     checked = placed.groupBy("cell").cogroup(sets.groupBy("spot")).applyInArrow(_verify(threshold), "a long, b long, jaccard double, of_a long, of_b long, joins boolean")
-    return members, checked
+    return members, checked, core
 
 
 def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
@@ -648,7 +793,7 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     return both
 
 
-def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def groups(members: DataFrame, pairs: DataFrame, core: DataFrame | None = None) -> DataFrame:
     """(doc_id, group_id): connected groups of similar documents; group_id is the
     smallest doc_id of the group. Documents that are in no pair and share no set are
     groups of one. Labels spread from neighbours and then from the label's own label,
@@ -658,6 +803,8 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     shared = members.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z"), F.count("*").alias("k")).filter("k > 1")
     extra = shared.join(members, "doc_id").select("a", F.col("sid").alias("b")).filter("a <> b")
     edges = pairs.filter("joins").select("a", "b").unionAll(extra)
+    if core is not None:
+        edges = edges.unionAll(core.filter("sid <> pivot").select("pivot", "sid"))
     edges = scratch.save(edges.unionAll(edges.select("b", "a")).distinct(), "group-edges")
     touched = edges.select(F.col("a").alias("sid")).distinct()
     now = scratch.save(own.join(touched, "sid", "left_semi").withColumn("changed", F.lit(True)), "group-labels")
@@ -672,10 +819,12 @@ def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return members.join(label, "sid").groupBy("doc_id").agg(F.min("label").alias("group_id"))
 
 
-def _links(members: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(members: DataFrame, pairs: DataFrame, core: DataFrame | None = None) -> DataFrame:
     """(doc_id, links): how many other documents each document with words is similar to."""
     weight = members.groupBy("sid").agg(F.count("*").alias("m"))
     near = pairs.select(F.col("a").alias("sid"), F.col("of_b").alias("m")).unionAll(pairs.select(F.col("b").alias("sid"), F.col("of_a").alias("m"))).unionAll(weight)
+    if core is not None:
+        near = near.unionAll(core.join(weight.withColumnRenamed("m", "copies"), "sid").groupBy("pivot").applyInArrow(_core_links, "sid long, m long"))
     total = near.groupBy("sid").agg(F.sum("m").alias("total"))
     texts = members.groupBy("doc_id").agg(F.count("*").alias("k"))
     links = members.join(total, "sid").select("doc_id", (F.col("total") - 1).alias("links"))
@@ -694,11 +843,11 @@ def _links(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """(doc_id, class_id, links), one row a doc_id: class_id is the smallest doc_id of the
     documents connected by similar pairs, links the number of documents similar to this one."""
-    members, pairs = similar_sets(docs, threshold, n)
+    members, pairs, core = _search(docs, threshold, n, True)
     members, pairs = scratch.save(members, "ngram-members"), scratch.save(pairs, "ngram-pairs")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
-    found = groups(members, pairs).select("doc_id", F.col("group_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    rows = found.unionAll(_links(members, pairs).select("doc_id", F.lit(None).cast("long"), "links")).unionAll(ids.select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
+    found = groups(members, pairs, core).select("doc_id", F.col("group_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    rows = found.unionAll(_links(members, pairs, core).select("doc_id", F.lit(None).cast("long"), "links")).unionAll(ids.select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
     rows = rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("links").alias("links"))
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "links")
 
@@ -706,7 +855,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFr
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of docs without those of a doc_id that isn't the smallest of its group.
     Rows without doc_id, or whose texts have no words, stay; so do all rows of a doc_id."""
-    members, pairs = similar_sets(docs, threshold, n)
+    members, pairs, core = _search(docs, threshold, n, True)
     members, pairs = scratch.save(members, "ngram-members"), scratch.save(pairs, "ngram-pairs")
-    lost = groups(members, pairs).filter("doc_id <> group_id").select(F.col("doc_id").alias("lost_id"))
+    lost = groups(members, pairs, core).filter("doc_id <> group_id").select(F.col("doc_id").alias("lost_id"))
     return docs.join(lost, docs["doc_id"].cast("long") == lost["lost_id"], "left_anti")

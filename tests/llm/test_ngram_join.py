@@ -173,3 +173,43 @@ def test_words(texts):
     separators = r"[^\x00-/:-@\[-`{-\x7f\xa0-\xbf\xd7\xf7 -ⁿ　-〿]+"
     assert got == [re.findall(separators, "".join(map(textvec._fold_char, t or ""))) for t in texts]
     assert len(set(map(int, w.hash))) == len({x for g in got for x in g})
+
+
+def family(rnd, start, base, count, edits):
+    """Near copies of a text, each with up to so many words changed."""
+    rows = []
+    for i in range(count):
+        text = base.split(" ")
+        for _ in range(rnd.randint(0, edits)):
+            text[rnd.randrange(len(text))] = f"n{rnd.randrange(10**6)}"
+        rows.append((start + i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("long", "seed"), [(3, 21), (12, 22), (12, 23)])
+def test_cores_of_near_copies(spark, monkeypatch, long, seed):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    rnd = random.Random(seed)
+    base = " ".join(f"b{i}" for i in range(60))
+    other = " ".join(base.split(" ")[:44] + [f"c{i}" for i in range(16)])
+    rows = make(seed, 40) + family(rnd, 100, base, 50, 14) + family(rnd, 200, other, 40, 12) + family(rnd, 300, "k l m n o p q r s t u v w", 30, 3)
+    rows += [(400 + i, rows[45 + i % 3][1]) for i in range(12)]
+    if seed == 22:  # documents of several texts
+        rows += [(101, rows[60][1]), (102, rows[95][1]), (500, base), (500, other), (500, rows[1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows, 0.6)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.classes(df).collect()} == want
+    assert {r.doc_id for r in ngram_join.one_of_each(df).select("doc_id").collect()} == {c for c, _ in want.values()}
+
+
+def test_pairs_of_near_copies_are_not_listed(spark, monkeypatch):
+    saved = {}
+    save = ngram_join.scratch.save
+    monkeypatch.setattr(ngram_join.scratch, "save", lambda df, name: saved.setdefault(name, save(df, name)) if name == "ngram-candidates" else save(df, name))
+    base = " ".join(f"b{i}" for i in range(80))
+    rows = family(random.Random(31), 0, base, 400, 6)
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.links) for r in got} == classes(rows, 0.6)
+    distinct = len({text for _, text in rows})
+    listed = saved["ngram-candidates"].selectExpr("coalesce(sum(size(b)), 0) AS k").collect()[0].k
+    assert listed < distinct * (distinct - 1) // 2 // 3
