@@ -6,7 +6,7 @@ appears; labels are batches of a log. Documents aren't changed or deleted, label
 and go. All readers see the batches that were committed when they asked.
 
     docs/batch=B       doc_id and the stored columns, one row a document
-    postings/batch=B   field, word, doc_id, positions, clustered by word
+    postings/batch=B   field, word, doc_id, positions, by field, word and falling doc_id from file to file
     stats/batch=B      field, word, df, occurrences
     labels/batch=B     op, label, doc_id
     label_stats/batch=B  label, df; of merged labels only
@@ -298,8 +298,8 @@ class Index:
 
         return check
 
-    def _add(self, documents: DataFrame, postings: DataFrame, source: str | None = None, files: int | None = None) -> dict | None:
-        """Commits documents(doc_id, stored columns...) and their postings as a batch; None if the source was committed before."""
+    def _add(self, documents: DataFrame, blocks: DataFrame, source: str | None = None, files: int | None = None) -> dict | None:
+        """Commits documents(doc_id, stored columns...) and blocks of their postings as a batch; None if the source was committed before."""
         if self._done(source):
             return None  # a repeated micro-batch
         batch = uuid.uuid4().hex
@@ -312,7 +312,7 @@ class Index:
             # two jobs at a time: most of a small batch is waiting for single tasks
             with ThreadPoolExecutor(1) as beside:
                 # kept unordered first, so that sampling the ranges doesn't tokenise once more
-                staging = beside.submit(postings.write.parquet, f"{self.path}/{staged}")
+                staging = beside.submit(blocks.write.parquet, f"{self.path}/{staged}")
                 documents.write.parquet(at["docs"])
                 n, ids, least, most = self.spark.read.schema("doc_id long").parquet(at["docs"]).agg(F.count("*"), F.count_distinct("doc_id"), F.min("doc_id"), F.max("doc_id")).collect()[0]
                 if n > ids:
@@ -320,11 +320,11 @@ class Index:
                 check = self._new_ids(batch, least, most)
                 check(self._commits())
                 staging.result()
-                rows = self.spark.read.schema(post.POSTINGS).parquet(f"{self.path}/{staged}")
-                counting = beside.submit(post.term_stats(rows).write.parquet, at["stats"])
-                post.clustered(rows, files).write.parquet(at["postings"])
+                rows = self.spark.read.schema(post.BLOCKS).parquet(f"{self.path}/{staged}")
+                counting = beside.submit(post.block_stats(rows).write.parquet, at["stats"])
+                post.clustered(rows, files or self._tasks(staged)).write.parquet(at["postings"])
                 counting.result()
-            done = self._commit({"batch": batch, "tables": list(at), "docs": n, "min_doc_id": least, "max_doc_id": most, "source": source}, check)
+            done = self._commit({"batch": batch, "tables": list(at), "docs": n, "min_doc_id": least, "max_doc_id": most, "source": source, "ordered": True}, check)
         except BaseException:
             done = None
             raise
@@ -336,6 +336,9 @@ class Index:
                     self.folder.delete(f"{t}/batch={batch}")
         return done
 
+    def _tasks(self, *names: str) -> int:
+        return post.tasks_for(sum(map(self.folder.size, names)), self.spark.sparkContext.defaultParallelism)
+
     def _last_id(self) -> int:
         return max((c["max_doc_id"] for c in self._commits() if c["max_doc_id"] is not None), default=0)
 
@@ -352,7 +355,7 @@ class Index:
             rows = self._numbered(rows.select(*wanted), staging)
         rows = storage.spread(rows)
         try:
-            return self._add(rows.select("doc_id", *stored), post.of_texts(rows, fields), source, files)
+            return self._add(rows.select("doc_id", *stored), post.text_blocks(rows, fields), source, files)
         finally:
             if staging:
                 self.folder.delete(staging)
@@ -370,13 +373,13 @@ class Index:
     def add_entries(self, entries: DataFrame) -> int:
         """Adds documents from rows (doc_id, seq, field, text)."""
         documents = post.entry_tokens(entries)
-        return self._add(documents.select("doc_id"), post.build(documents))["docs"]
+        return self._add(documents.select("doc_id"), post.blocks(post.build(documents)))["docs"]
 
     def add_entry(self, entry: Entry) -> int:
         """Adds one document and returns its id."""
         doc_id = self._reserve(1)
         documents = self.spark.createDataFrame([(doc_id, entry.tokens)], f"doc_id long, tokens {post.TOKEN}").coalesce(1)
-        self._add(documents.select("doc_id"), post.build(documents), files=1)
+        self._add(documents.select("doc_id"), post.blocks(post.build(documents)), files=1)
         return doc_id
 
     def _log(self, operations: DataFrame, source: str | None = None) -> dict | None:
@@ -528,11 +531,12 @@ class Index:
         old = [c for c in commits if "postings" in c["tables"]]
         if len(old) > 1:
             at = {t: f"{self.path}/{t}/batch={batch}" for t in ("docs", "postings", "stats")}
-            post.clustered(self._table("postings", post.POSTINGS, old), files).write.parquet(at["postings"])
+            tasks = files or self._tasks(*[f"postings/batch={c['batch']}" for c in old if "postings" in c["tables"]])
+            post.clustered(post.blocks(self._table("postings", post.POSTINGS, old)), tasks).write.parquet(at["postings"])
             self._table("docs", None, old).write.parquet(at["docs"])
             post.term_stats(self.spark.read.schema(post.POSTINGS).parquet(at["postings"])).write.parquet(at["stats"])
             ids = [(c["min_doc_id"], c["max_doc_id"]) for c in old if c["max_doc_id"] is not None]
-            self._replace(batch, list(at), old, {"docs": sum(c["docs"] for c in old), "min_doc_id": min((a for a, _ in ids), default=None), "max_doc_id": max((b for _, b in ids), default=None)})
+            self._replace(batch, list(at), old, {"docs": sum(c["docs"] for c in old), "min_doc_id": min((a for a, _ in ids), default=None), "max_doc_id": max((b for _, b in ids), default=None), "ordered": True})
         logs = [c for c in commits if "labels" in c["tables"]]
         if len(logs) > 1 or any("label_stats" not in c["tables"] for c in logs):
             batch = uuid.uuid4().hex

@@ -367,3 +367,25 @@ def test_command_line(spark, tmp_path):
     assert run("benchmark", path, str(tmp_path / "q"))[1].splitlines()[-1].startswith("2 queries")
     assert run("nope", path)[0] == 2
     assert run("make-queries", path)[0] == 0
+
+
+def test_postings_are_ordered_from_file_to_file(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from sieveline.operators import postings as post
+
+    monkeypatch.setattr(post, "TASK_BYTES", 1 << 10)
+    ids = [(i * 7919) % 3001 + (i % 3) * 70_000 - 1000 for i in range(3000)]  # in no order, over several spans
+    rows = spark.createDataFrame([(d, f"the w{d % 7} x{k} the") for k, d in enumerate(ids)], "doc_id long, t string").repartition(3)
+    index = Index.create(spark, str(tmp_path / "i"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert index.add_documents(rows, {"body": "t"}) == 3000
+    batch = index.folder.names("postings")[0]
+    names = [n for n in index.folder.names(f"postings/{batch}") if n.endswith(".parquet")]
+    assert len(names) > int(before)  # tasks follow the input, not the session
+    found = [r for n in names for r in pq.read_table(f"{tmp_path}/i/postings/{batch}/{n}").to_pylist()]
+    key = [(r["field"], r["word"], -r["doc_id"]) for r in found]
+    assert key == sorted(key) and len(set(key)) == 9000
+    assert all(r["positions"] == {"t": [0, 3], "w": [1], "x": [2]}[r["word"][0]] for r in found)
+    stats = {r.word: (r.df, r.occurrences) for r in index.term_stats().collect()}
+    assert stats["the"] == (3000, 6000) and sum(n for n, _ in stats.values()) == 9000
