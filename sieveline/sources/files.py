@@ -8,11 +8,17 @@ as record separator, so large ones are read by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ascii_lower, tokens
+from ..functions.tokens import ascii_lower, raw_tokens
 from ..operators.index import Index
+from ..operators.postings import slices
 
 INBOX = "inbox"
 
@@ -48,7 +54,23 @@ def index_mbox(index: Index, paths: str | list[str]) -> int:
 
 def random_queries(documents: DataFrame, column: str = "body", share: float = 0.0001, words: int = 5, seed: int = 0) -> DataFrame:
     """(query): strings of words sampled from the documents, up to ``words`` each, to measure with."""
-    picked = documents.select(F.explode(tokens(column)).alias("word")).filter(F.rand(seed) < share)
-    numbered = picked.withColumn("at", F.monotonically_increasing_id())
-    lines = numbered.groupBy(F.spark_partition_id().alias("p"), (F.col("at") / words).cast("long").alias("line"))
-    return lines.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("query")).select("query")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, held = np.random.default_rng([seed, TaskContext.get().partitionId()]), []
+        for batch in batches:
+            for part in slices(batch, 0):
+                found = [t for x in part.column(0).to_pylist() if x for t in raw_tokens(x)]
+                held += found if share >= 1 else [found[i] for i in np.flatnonzero(rng.random(len(found)) < share)]
+                whole = len(held) - len(held) % words
+                if whole:
+                    yield lines(held[:whole])
+                    held = held[whole:]
+        if held:
+            yield lines(held)
+
+    def lines(picked: list[bytes]) -> pa.RecordBatch:
+        joined = picked if words == 1 else [b" ".join(picked[i : i + words]) for i in range(0, len(picked), words)]
+        return pa.RecordBatch.from_arrays([pa.array(joined, pa.binary()).cast(pa.string())], names=["query"])
+
+    # words of a line follow each other in a task, so nothing is moved
+    return documents.select(F.col(column).cast("string")).mapInArrow(run, "query string")

@@ -389,3 +389,14 @@ def test_postings_are_ordered_from_file_to_file(spark, tmp_path, monkeypatch):
     assert all(r["positions"] == {"t": [0, 3], "w": [1], "x": [2]}[r["word"][0]] for r in found)
     stats = {r.word: (r.df, r.occurrences) for r in index.term_stats().collect()}
     assert stats["the"] == (3000, 6000) and sum(n for n, _ in stats.values()) == 9000
+
+
+def test_random_queries_move_nothing(spark):
+    docs = spark.createDataFrame([(f"a{i} b{i}, {'w' * 60} c{i}",) for i in range(50)] + [(None,), ("",)], "body string").coalesce(1)
+    every = ["w" * 60 if k == 2 else f"{'abxc'[k]}{i}" for i in range(50) for k in range(4)]
+    found = files.random_queries(docs, share=1.0, words=3)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert [r.query for r in found.collect()] == [" ".join(every[i : i + 3]) for i in range(0, 200, 3)]
+    some = files.random_queries(docs, share=0.3, words=1, seed=5)
+    picked = [r.query for r in some.collect()]
+    assert 20 < len(picked) < 120 and set(picked) <= set(every) and picked == [r.query for r in some.collect()]
