@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,10 +50,14 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def token_matches(text: str | bytes) -> Iterator[re.Match[bytes]]:
+    """The tokens one after the other, with their places in bytes."""
+    return _IN_BYTES.finditer(text.encode() if isinstance(text, str) else text)
+
+
 def token_spans(text: str | bytes) -> list[tuple[bytes, int, int]]:
     """(token, start, end) in bytes, for use outside of Spark."""
-    raw = text.encode() if isinstance(text, str) else text
-    return [(m[0], m.start(), m.end()) for m in _IN_BYTES.finditer(raw)]
+    return [(m[0], m.start(), m.end()) for m in token_matches(text)]
 
 
 def raw_tokens(text: str) -> list[bytes]:

@@ -110,3 +110,15 @@ def test_snippet_column(spark):
     df = spark.createDataFrame([(1, TEXT), (2, None), (3, "")], "id int, t string")
     got = {r.id: [(s.start, s.end) for s in r.s] for r in df.select("id", snippets(parse("sing"), "body", "t").alias("s")).collect()}
     assert got == {1: snippet_spans(parse("sing"), "body", TEXT), 2: [], 3: []}
+
+
+def test_snippets_of_a_long_text_hold_a_window_of_it():
+    import tracemalloc
+
+    text = b"the x y " * 100_000
+    tracemalloc.start()
+    first = snippet_spans(parse('"y the" OR nope'), "body", text, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first == [(6, 11), (14, 19), (22, 27)] and peak < 4 << 20
+    assert len(snippet_spans(parse('"y the"'), "body", text, None)) == 99_999  # across windows, too
