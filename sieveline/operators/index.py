@@ -216,8 +216,14 @@ class Index:
         return sums.select(*about, "*")
 
     def dump(self) -> DataFrame:
-        """All postings in order."""
-        return self.postings().orderBy("field", "word", F.desc("doc_id"))
+        """All postings by field, word and falling doc_id. Those of one batch lie so in its files, which are read one after the other; those of several are sorted."""
+        commits = [c for c in self._commits() if "postings" in c["tables"]]
+        if len(commits) != 1 or not commits[0].get("ordered"):
+            return self._table("postings", post.POSTINGS, commits).orderBy("field", "word", F.desc("doc_id"))
+        at = f"postings/batch={commits[0]['batch']}"
+        names = [n for n in self.folder.names(at) if n.endswith(".parquet")]
+        # a scan of several files takes the largest first
+        return post.union([self.spark.read.schema(post.POSTINGS).parquet(f"{self.path}/{at}/{n}") for n in names]) if names else self._table("postings", post.POSTINGS, [])
 
     # -- writing
 

@@ -389,6 +389,9 @@ def test_postings_are_ordered_from_file_to_file(spark, tmp_path, monkeypatch):
     assert all(r["positions"] == {"t": [0, 3], "w": [1], "x": [2]}[r["word"][0]] for r in found)
     stats = {r.word: (r.df, r.occurrences) for r in index.term_stats().collect()}
     assert stats["the"] == (3000, 6000) and sum(n for n, _ in stats.values()) == 9000
+    dump = index.dump()
+    assert "Exchange" not in dump._jdf.queryExecution().executedPlan().toString()  # the files are in order
+    assert [(r.field, r.word, -r.doc_id) for r in dump.collect()] == key
 
 
 def test_random_queries_move_nothing(spark):
