@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,8 @@ VERSION = 2
 SNAPSHOT = 64
 #: Ids that the first step of a limited search goes down.
 FIRST_STEP = 4096
+#: Results of 2^PLACE_BITS ids that follow each other are numbered by one task.
+PLACE_BITS = 16
 
 
 class IndexStateError(RuntimeError):
@@ -98,6 +100,17 @@ class Cursor:
             self.last = ids[-1]
         return ids
 
+    def rest(self) -> DataFrame:
+        """(place, doc_id) of all results that are left, place 0 the newest of them; one query for all pages, and none of it in the driver. The cursor is at its end then."""
+        found = self.index._find(self.query, self.batches if not self.done else [], self.last).withColumn("span", F.shiftright("doc_id", PLACE_BITS))
+        self.done = True
+        # a row for each span of ids that has results
+        before = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
+        starts = found.groupBy("span").agg(F.count("*").alias("n")).select(F.col("span").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        within = F.row_number().over(Window.partitionBy("span").orderBy(F.desc("doc_id"))).cast("long")
+        placed = found.select("span", "doc_id", within.alias("k")).join(F.broadcast(starts), F.col("span") == F.col("s"))
+        return placed.select((F.col("start") + F.col("k") - 1).alias("place"), "doc_id")
+
 
 class Index:
     def __init__(self, spark: SparkSession, path: str):

@@ -219,9 +219,8 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cursor_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages of a query, in order."""
-    found = index_of(spark, sf_dir).iter_results("the -of", 500)
-    return spark.createDataFrame([(k, i) for k, i in enumerate(found)], "place long, doc_id long")
+    """All results of a query with their places, from a cursor at its start to its end."""
+    return index_of(spark, sf_dir).cursor("the -of").rest()
 
 
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:

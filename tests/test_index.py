@@ -403,3 +403,21 @@ def test_random_queries_move_nothing(spark):
     some = files.random_queries(docs, share=0.3, words=1, seed=5)
     picked = [r.query for r in some.collect()]
     assert 20 < len(picked) < 120 and set(picked) <= set(every) and picked == [r.query for r in some.collect()]
+
+
+def test_the_rest_of_a_cursor(spark, tmp_path, monkeypatch):
+    from sieveline.operators import index as module
+
+    monkeypatch.setattr(module, "PLACE_BITS", 3)
+    index = Index.create(spark, str(tmp_path / "i"))
+    for k in (0, 1):
+        index.add_documents(spark.range(k * 100 - 20, k * 100 + 20).selectExpr("id as doc_id", "if(id % 3 = 0, 'w x', 'w') as t"), {"body": "t"})
+    left = [i for i in [*range(119, 79, -1), *range(19, -21, -1)] if i % 3]
+    cursor, started = index.cursor("w -x"), index.cursor("w -x")
+    assert started.next(5) == left[:5]
+    jobs = []
+    monkeypatch.setattr(index, "_newest", lambda *a: jobs.append(a))
+    index.add_entry(Entry().add_string("body", "w"))  # comes later than both cursors
+    places = lambda c: sorted(map(tuple, c.rest().collect()))
+    assert places(cursor) == list(enumerate(left)) and places(started) == list(enumerate(left[5:]))
+    assert not jobs and cursor.next(5) == [] and places(cursor) == []
